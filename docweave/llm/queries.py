@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import bpe
+from docweave.llm import bpe, quality, rans
 from docweave.llm.common import table
 
 QUERIES: dict = {}
@@ -17,3 +17,14 @@ def query(f):
 @query
 def op10_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_rans(spark, sf_dir):
+    return rans.store(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
