@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import bpe, quality, rans
+from docweave.llm import bpe, decontaminate, quality, rans, toxicity
 from docweave.llm.common import table
 
 QUERIES: dict = {}
@@ -28,3 +28,14 @@ def op2_rans(spark, sf_dir):
 def op4_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from docweave.llm.common import slices
 
 #: Labelled documents that the fit uses at most, by the order of a hash of their ids.
-MAX_TOXIC, MAX_CLEAN = 1_000, 3_000
+MAX_TOXIC, MAX_CLEAN = 1_000, 2_000
 PREFIXES = (3, 4, 5, 6)
 WORD = re.compile(r"\w+")
 #: Tokens of a training sequence; longer texts are cut, none is left out.
@@ -118,14 +118,31 @@ class Model:
         return np.split(p, ends[:-1]) if len(ends) else []
 
 
-def label_tokens(texts: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
-    """0 or 1 for each token, from the documents' labels."""
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    count: dict[str, list[int]] = {}
+def _origins(words: list[str]) -> tuple[int, ...]:
+    """Least hashes of a text's word triples under four functions: copies and near copies mostly share them."""
+    import xxhash
+
+    triples = {" ".join(words[i : i + 3]).lower() for i in range(max(1, len(words) - 2))}
+    h = np.fromiter((xxhash.xxh64_intdigest(x) for x in triples), np.uint64, len(triples))
+    with np.errstate(over="ignore"):
+        return tuple(int((h * np.uint64(m)).min()) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def label_tokens(texts: list[list[str]], toxic: np.ndarray) -> tuple[list[np.ndarray], list[str]]:
+    """0 or 1 for each token, from the documents' labels; and the telling traits. Copies of a document count once."""
+    origins: dict[tuple, set] = {}
+    seen: dict[str, list] = {}
     for words, bad in zip(texts, toxic):
+        own = _origins(words) if words else (0, 0, 0, 0)
+        for i, o in enumerate(own):
+            origins.setdefault((bool(bad), i), set()).add(o)
         for x in {y for w in set(words) for y in traits(w)}:
-            count.setdefault(x, [0, 0])[int(bad)] += 1
-    need = np.log(max(len(count), 2) / 0.1)
+            entry = seen.setdefault(x, [[], []])
+            if bad or len(entry[0]) < 2_000:
+                entry[int(bad)].append(own)
+    n0, n1 = (max(1, min([len(origins.get((bad, i), ())) for i in range(4)])) for bad in (False, True))
+    count = {x: [min(len({o[i] for o in side}) for i in range(4)) if side else 0 for side in entry] for x, entry in seen.items() if len(entry[1]) >= 3}
+    need = np.log(max(len(seen), 2) / 0.1)
     share = n1 / (n1 + n0)
     found = {}
     for x, (clean, bad) in count.items():
@@ -146,12 +163,12 @@ def label_tokens(texts: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
             hit[w] = any(x in found for x in traits(w))
         return hit[w]
 
-    return [np.array([bad and marked(w) for w in words], bool) for words, bad in zip(texts, toxic)]
+    return [np.array([bad and marked(w) for w in words], bool) for words, bad in zip(texts, toxic)], sorted(found)
 
 
-def train(texts: list[list[str]], toxic: np.ndarray, rounds: int = 40, rate: float = 0.5, l2: float = 1e-6) -> Model:
+def train(texts: list[list[str]], toxic: np.ndarray, rounds: int = 25, rate: float = 0.5, l2: float = 1e-6) -> Model:
     """Adam on the log likelihood of the labelled chains; the gradient is of expected against seen counts."""
-    labels = label_tokens(texts, toxic)
+    labels, telling = label_tokens(texts, toxic)
     cut = [(x[i : i + CUT], y[i : i + CUT]) for x, y in zip(texts, labels) for i in range(0, len(x), CUT)]
     move, start = np.full((2, 2), 0.5), np.array([0.9, 0.1])
     if not any(y.any() for _, y in cut):
@@ -161,13 +178,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, rounds: int = 40, rate: flo
     y = np.concatenate([y for _, y in cut])
     first = np.zeros(len(flat), bool)
     first[np.cumsum([0] + [len(x) for x, _ in cut[:-1]])] = True
-    # traits that no toxic token has are left to the bias
-    toxic_words = set(np.unique(flat[y]).tolist())
-    held: dict[str, int] = {}
-    for w, i in ids.items():
-        if i in toxic_words:
-            for t in traits(w):
-                held.setdefault(t, len(held))
+    held = {t: i for i, t in enumerate(telling)}
     row, column = np.array([(i, held[t]) for w, i in ids.items() for t in traits(w) if t in held]).T
     # transitions are estimated from the labelled chains, with one count added to each
     then, now = y[:-1][~first[1:]], y[1:][~first[1:]]
@@ -175,7 +186,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, rounds: int = 40, rate: flo
     move = seen / seen.sum(1, keepdims=True)
     seen = np.bincount(y[first].astype(int), minlength=2) + 1.0
     start = seen / seen.sum()
-    w, bias = np.zeros(len(held)), -8.0
+    w, bias = np.full(len(held), 18.0), -10.0
     m, v, bm, bv = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     total = len(flat)
     seen_y = np.bincount(flat, y, len(ids))
@@ -188,7 +199,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, rounds: int = 40, rate: flo
         m, v, bm, bv = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * bm + 0.1 * gb, 0.99 * bv + 0.01 * gb * gb
         a, b = 1 - 0.9**r, 1 - 0.99**r
         w -= rate * (m / a) / (np.sqrt(v / b) + 1e-6)
-        bias -= rate * (bm / a) / (np.sqrt(bv / b) + 1e-6)
+        bias -= 0.02 * rate * (bm / a) / (np.sqrt(bv / b) + 1e-6)
     return Model({t: float(w[i]) for t, i in held.items() if abs(w[i]) >= 0.05}, float(bias), move, start)
 
 
