@@ -1,9 +1,9 @@
 """Operator 9: benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
 
-Texts are compared in lower case with runs of white space as one space. A document holds an item where an item-sized window of
-it lies within THETA of the item's length in edit distance. Windows come from every place of every document: a scan over all
-word pairs keeps those where two pairs of the item stand about where the item has them, which holds for a window that is this
-close unless nearly every word in it is hurt. Each window and item goes through WALKS random walks of Chakraborty, Goldenberg
+Texts are compared in lower case with runs of white space as one space. A document holds an item where some run of its
+characters lies within THETA of the item's length in edit distance. Item-sized windows come from every place of every document: a scan over all
+word pairs keeps those where two telling pairs of the item stand about where the item has them, which holds for a window that is
+this close unless nearly every word in it is hurt. Each window and item goes through WALKS random walks of Chakraborty, Goldenberg
 and Koucky, which map edit distance to Hamming distance; TABLES samples of BITS places of a walk are its keys. Where a key of
 a window is a key of an item, the edit distance is computed exactly.
 
@@ -25,7 +25,7 @@ from docweave.llm.common import WordHash, mix, slices, windows
 
 #: Largest edit distance, as a share of the item's length.
 THETA = 0.15
-WALKS, TABLES, BITS = 4, 16, 6
+WALKS, TABLES, BITS = 8, 12, 4
 #: Words that an item's start and end may be shifted by insertions before a pair.
 SHIFT = 6
 SHARD_CHARS = 32_000_000
@@ -35,18 +35,17 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Edit distance of a and b; most + 1 if it is larger. Myers' bit vectors, a row a character of b."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    if not a or not b:
-        return max(len(a), len(b))
+def least_distance(item: str, text: str, most: int) -> int:
+    """Least edit distance between item and any run of characters of text; most + 1 if it is larger. Myers' bit vectors."""
+    if not item:
+        return 0
     where: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(item):
         where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = full, 0, len(a)
-    for j, c in enumerate(b):
+    full, top = (1 << len(item)) - 1, 1 << len(item) - 1
+    up, down, score = full, 0, len(item)
+    best = score
+    for c in text:
         eq = where.get(c, 0)
         x = eq | down
         d0 = (((eq & up) + up) ^ up) | x
@@ -55,11 +54,11 @@ def edit_distance(a: str, b: str, most: int) -> int:
             score += 1
         elif minus & top:
             score -= 1
-        plus, minus = plus << 1 | 1, minus << 1
+            if score < best:
+                best = score
+        plus, minus = plus << 1, minus << 1
         up, down = (minus | ~(d0 | plus)) & full, plus & d0 & full
-        if score - (len(b) - 1 - j) > most:
-            return most + 1
-    return min(score, most + 1)
+    return min(best, most + 1)
 
 
 class Embedding:
@@ -79,20 +78,27 @@ class Embedding:
         for i, t in enumerate(texts):
             c = np.frombuffer(t[: self.size].encode("utf-32-le", "surrogatepass"), np.uint32)
             chars[i, : len(c)] = c % 255 + 1
-        every = np.arange(n)
-        out = np.zeros((n, WALKS * TABLES), np.uint64)
+        # all walks of all texts go on together
+        flat, width = chars.ravel(), self.size + 1
+        base = np.tile(np.arange(n) * width, (WALKS, 1))
+        end = base + self.size
+        at = base.copy()
         steps = min(self.steps, 3 * int(lengths.max(initial=1)))
-        for w in range(WALKS):
-            at = np.zeros(n, np.int64)
-            walk = np.empty((n, steps), np.uint8)
-            for j in range(steps):
-                c = chars[every, at]
-                walk[:, j] = c
-                at = np.minimum(at + self.moves[w, j][c], self.size)
-            for t in range(TABLES):
-                places = (self.samples[w, t][None, :] * (3 * np.minimum(lengths, self.size))[:, None]).astype(np.int64)
-                with np.errstate(over="ignore"):
-                    h = (walk[every[:, None], places].astype(np.uint64) * self.factors).sum(1, dtype=np.uint64)
+        walk = np.empty((steps, WALKS, n), np.uint8)
+        moves = self.moves.reshape(WALKS, self.steps, 256)
+        which = np.arange(WALKS)[:, None]
+        for j in range(steps):
+            c = walk[j] = flat[at]
+            at += moves[which, j, c]
+            np.minimum(at, end, out=at)
+        out = np.zeros((n, WALKS * TABLES), np.uint64)
+        every = np.arange(n)[:, None]
+        reach = 3 * np.minimum(lengths, self.size)[:, None]
+        with np.errstate(over="ignore"):
+            for w in range(WALKS):
+                for t in range(TABLES):
+                    places = (self.samples[w, t] * reach).astype(np.int64)
+                    h = (walk[places, w, every].astype(np.uint64) * self.factors).sum(1, dtype=np.uint64)
                     out[:, w * TABLES + t] = mix(h + np.uint64(w * TABLES + t) * np.uint64(0x9E3779B97F4A7C15))
         return out
 
@@ -123,19 +129,19 @@ class Index:
         self.embedding = Embedding(int((self.chars.max(initial=1)) * (1 + THETA)) + 8) if self.items else None
         self.keys = self.embedding.keys([t for _, t in self.items], self.chars) if self.items else np.zeros((0, WALKS * TABLES), np.uint64)
 
-    def seeds(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, place in item) of every pair that an item has too."""
+    def seeds(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, place in item, 1 / places in items) of every pair that an item has too."""
         empty = np.zeros(0, np.int64)
         place = np.flatnonzero(self.near[(pairs >> np.uint64(44)).astype(np.int64)]) if len(self.unique) else empty
         if not len(place):
-            return empty, empty, empty
+            return empty, empty, empty, empty
         found = np.minimum(np.searchsorted(self.unique, pairs[place]), len(self.unique) - 1)
         fine = self.unique[found] == pairs[place]
         place, found = place[fine], found[fine]
         n = self.count[found]
         ends = np.cumsum(n)
         k = np.repeat(self.begin[found] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        return np.repeat(place, n), self.item[k], self.at[k]
+        return np.repeat(place, n), self.item[k], self.at[k], np.repeat(1 / n, n)
 
     def search(self, texts: list[str | None], hashes: WordHash) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, end word, distance) of the windows that are close enough, the best for each text and item, the first of equals."""
@@ -143,20 +149,21 @@ class Index:
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
         flat = hashes.of([x for w in words for x in w])
-        place, item, at = self.seeds(windows(flat, 2))
+        place, item, at, weight = self.seeds(windows(flat, 2))
         text = np.searchsorted(ends, place, "right")
         inside = place + 1 < ends[text] if len(place) else np.zeros(0, bool)
-        place, item, at, text = place[inside], item[inside], at[inside], text[inside]
+        place, item, at, weight, text = place[inside], item[inside], at[inside], weight[inside], text[inside]
         if not len(place):
             return []
         shift = place - at
         order = np.lexsort((place, shift, item, text))
-        place, item, at, text, shift = place[order], item[order], at[order], text[order], shift[order]
+        place, item, at, weight, text, shift = place[order], item[order], at[order], weight[order], text[order], shift[order]
         apart = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > SHIFT)])
         group = np.cumsum(apart) - 1
         first = np.flatnonzero(apart)
         size = np.diff(np.append(first, len(place)))
-        many = np.flatnonzero(size > 1)
+        # a pair that stands in many items says little about each: together, more than one telling pair
+        many = np.flatnonzero((size > 1) & (np.add.reduceat(weight, first) > 1.05))
         if not len(many):
             return []
         spans = []
@@ -165,10 +172,13 @@ class Index:
             k = slice(a, a + size[g])
             t, i = int(text[a]), int(item[a])
             start, end = int(ends[t] - sizes[t]), int(ends[t])
-            # a window for each shift that occurs: where the item would begin by a pair before an insertion, and where it would end by one after it
-            moves = np.unique(shift[k])
-            for x in moves.tolist():
-                for y in {x, int(moves[-1]), int(moves[0])}:
+            # the shift with the most weight; insertions move where the window starts, by its first pair, and ends, by its last
+            moves, which = np.unique(shift[k], return_inverse=True)
+            main = int(moves[np.bincount(which, weight[k]).argmax()])
+            close_by = np.flatnonzero(np.abs(shift[k] - main) <= SHIFT) + a
+            head, tail = (int(shift[close_by[f(at[close_by])]]) for f in (np.argmin, np.argmax))
+            for x in {main, head}:
+                for y in {main, tail}:
                     lo, hi = max(start, x), min(end, y + int(self.words[i]))
                     if hi > lo:
                         spans.append((t, i, lo - start, hi - start))
@@ -184,7 +194,8 @@ class Index:
         for k in np.flatnonzero(close).tolist():
             t, i, a, b = spans[k]
             most = int(self.most[i])
-            if (d := edit_distance(self.items[i][1], strings[k], most)) <= most:
+            around = " ".join(words[t][max(0, a - SHIFT) : b + SHIFT])
+            if (d := least_distance(self.items[i][1], around, most)) <= most:
                 if (t, i) not in best or d < best[t, i][4]:
                     best[t, i] = (t, i, a, b, d)
         return sorted(best.values())
