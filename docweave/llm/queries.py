@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import bpe, decontaminate, quality, rans, toxicity
+from docweave.llm import bpe, decontaminate, quality, rans, substring, toxicity
 from docweave.llm.common import table
 
 QUERIES: dict = {}
@@ -39,3 +39,8 @@ def op1_toxicity(spark, sf_dir):
 @query
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_substring(spark, sf_dir):
+    return substring.dedup(table(spark, sf_dir, "documents"), report=True)
