@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns into strings at once; bounds its memory, not the result.
 SLICE = 512
+#: Rows up to which a table of document ids is broadcast; beyond it, it is joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,11 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(big: DataFrame, small: DataFrame, rows: int, on: str | list[str], how: str) -> DataFrame:
+    """big joined with a table of so many rows, which is broadcast if they are few, else shuffled."""
+    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

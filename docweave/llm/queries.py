@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import bpe, decontaminate, quality, rans, substring, toxicity
+from docweave.llm import bpe, decontaminate, jaccard, quality, rans, substring, toxicity
 from docweave.llm.common import table
 
 QUERIES: dict = {}
@@ -14,6 +14,16 @@ def query(f):
     return f
 
 
+def oracle(sql: str):
+    """The SQL that gives the same rows as the query below it."""
+
+    def add(f):
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 @query
 def op10_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"))
@@ -44,3 +54,20 @@ def op9_decontaminate(spark, sf_dir):
 @query
 def op5_substring(spark, sf_dir):
     return substring.dedup(table(spark, sf_dir, "documents"), report=True)
+
+
+@query
+@oracle(
+    """
+    with words as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), x -> x <> '') as w from documents where text is not null and doc_id is not null),
+    grams as (select doc_id, list_sort(list_distinct(case when len(w) = 1 then w else list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) end)) as g from words where len(w) > 0),
+    sets as (select row_number() over (order by min(doc_id)) as id, g, list_sort(list_distinct(list(doc_id))) as docs from grams group by g),
+    tokens as (select id, len(g) as n, unnest(g) as g from sets),
+    pairs as (select a.id as a, b.id as b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as j from tokens a join tokens b on a.g = b.g and a.id < b.id group by 1, 2)
+    select list_concat(a.docs, b.docs) as doc_ids, len(a.docs)::int as n_first, round(j, 9) as jaccard
+    from pairs join sets a on a.id = pairs.a join sets b on b.id = pairs.b where j >= 0.55 - 1e-12
+    union all select docs, len(docs)::int, 1.0 from sets where len(docs) > 1
+    """
+)
+def op3_jaccard(spark, sf_dir):
+    return jaccard.find(table(spark, sf_dir, "documents"))

@@ -26,12 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import WordHash, lists, slices, windows, written
+from docweave.llm.common import WordHash, joined, slices, windows, written
 
 LENGTH, GAP = 44, 7
 SHARD_WORDS, BROADCAST_WORDS = 100_000, 20_000
-#: Rows up to which a table of document ids is broadcast; beyond it, it is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
 _WORD = re.compile(r"\S+")
 
 
@@ -182,10 +180,6 @@ def _copies(docs: DataFrame, length: int, gap: int) -> DataFrame:
     return windows_.repartition("h").mapInArrow(pair, "doc bigint, at int, owner bigint, owner_at int")
 
 
-def _joined(big: DataFrame, small: DataFrame, rows: int, on: str | list[str], how: str) -> DataFrame:
-    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with _doc, the doc_id as a number."""
     return docs.withColumn("_doc", F.col("doc_id").cast("bigint"))
@@ -233,7 +227,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(role, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(packed, pa.binary()), pa.array(of, pa.int64())], names=["shard", "role", "doc", "start", "words", "text_hash"])
 
     base = docs.where("_doc is not null and text is not null").select("_doc", "text")
-    picked = _joined(base, plan, rows, "_doc", "inner").select("_doc", "text", "places", "shard", "shards", F.xxhash64("text"))
+    picked = joined(base, plan, rows, "_doc", "inner").select("_doc", "text", "places", "shard", "shards", F.xxhash64("text"))
     schema = "shard bigint, role int, doc bigint, start int, words binary, text_hash bigint"
     found = "doc bigint, text_hash bigint, a int, b int"
 
@@ -286,7 +280,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gap: int = GAP, report: bool =
     rows = gone.count()
     names = docs.columns
     both = _numbered(docs).withColumn("_hash", F.xxhash64("text"))
-    both = _joined(both, gone.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash", "spans": "_spans"}), rows, ["_doc", "_hash"], "left").select(*[f"`{n}`" for n in names], "_spans")
+    both = joined(both, gone.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash", "spans": "_spans"}), rows, ["_doc", "_hash"], "left").select(*[f"`{n}`" for n in names], "_spans")
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
     schema = T.StructType([*docs.schema, *([T.StructField("n_removed", T.IntegerType())] if report else [])])
 
