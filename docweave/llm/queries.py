@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docweave.llm import bpe, decontaminate, jaccard, quality, rans, substring, toxicity
+from pyspark.sql import functions as F
+
+from docweave.llm import bpe, decontaminate, gif, html, jaccard, quality, rans, substring, toxicity, warc
 from docweave.llm.common import table
 
 QUERIES: dict = {}
@@ -59,8 +61,8 @@ def op5_substring(spark, sf_dir):
 @query
 @oracle(
     """
-    with words as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), x -> x <> '') as w from documents where text is not null and doc_id is not null),
-    grams as (select doc_id, list_sort(list_distinct(case when len(w) = 1 then w else list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) end)) as g from words where len(w) > 0),
+    with words as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from documents where text is not null and doc_id is not null),
+    grams as (select doc_id, list_sort(list_distinct(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as g from words where len(w) > 0),
     sets as (select row_number() over (order by min(doc_id)) as id, g, list_sort(list_distinct(list(doc_id))) as docs from grams group by g),
     tokens as (select id, len(g) as n, unnest(g) as g from sets),
     pairs as (select a.id as a, b.id as b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as j from tokens a join tokens b on a.g = b.g and a.id < b.id group by 1, 2)
@@ -71,3 +73,31 @@ def op5_substring(spark, sf_dir):
 )
 def op3_jaccard(spark, sf_dir):
     return jaccard.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_gif(spark, sf_dir):
+    return gif.decode(gif.pictures(table(spark, sf_dir, "pages")))
+
+
+@query
+@oracle(
+    """
+    with body as (select page_id, url, coalesce(html, '') as html, sha256(coalesce(html, '')) as digest from pages),
+    http as (select *, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) as http from body),
+    head as (select *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+        || 'WARC-Date: 2026-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+        || 'WARC-Payload-Digest: sha256:' || digest || chr(13) || chr(10) || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10)
+        || 'Content-Length: ' || (octet_length(encode(http)) + octet_length(encode(html))) || chr(13) || chr(10) || chr(13) || chr(10) || http as head from http)
+    select page_id as record_id, digest, min(page_id) over (partition by digest) as owner, octet_length(encode(head))::int as header_bytes, octet_length(encode(html))::int as payload_bytes,
+        true as declared_fits, true as verified, head || html || chr(13) || chr(10) || chr(13) || chr(10) as record from head
+    """
+)
+def op7_warc(spark, sf_dir):
+    restored = warc.restore(*warc.store(warc.from_pages(table(spark, sf_dir, "pages"))))
+    return restored.withColumn("record", F.col("record").cast("string"))
+
+
+@query
+def op8_html(spark, sf_dir):
+    return html.text_of(table(spark, sf_dir, "pages"))
