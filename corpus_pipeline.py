@@ -1,20 +1,40 @@
-"""Stages over documents, from quality to tokens."""
+"""Stages over documents, from quality to tokens. Each works on all rows that the one before it left, and its decisions take effect.
+
+Only the last stage changes the columns: it returns token ids beside doc_id, lang, source and n_chars. No stage is written as SQL.
+"""
 
 from __future__ import annotations
 
-from docweave.llm import bpe
+from docweave.llm import bpe, decontaminate, jaccard, quality, substring
+from docweave.llm.common import table
+
+
+def good(spark, docs, sf_dir):
+    return quality.select(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each(spark, docs, sf_dir):
+    return jaccard.keep_one(docs)
+
+
+def no_repeats(spark, docs, sf_dir):
+    return substring.dedup(docs)
+
+
+def no_benchmark(spark, docs, sf_dir):
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark, docs, sf_dir):
     return bpe.encode(docs, keep=("lang", "source", "n_chars"))
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [("quality", good), ("near_copies", one_of_each), ("substrings", no_repeats), ("decontamination", no_benchmark), ("bpe", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
