@@ -50,11 +50,17 @@ class TextIndex:
         return from_postings(self.key, postings)
 
 
+def _stacked(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, text) of the texts that aren't empty."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields])
+    return df.select(F.col(f"`{key}`").alias("key"), F.explode(each).alias("f")).select("key", "f.field", "f.text").where("text is not null and text <> ''")
+
+
 def tokens(df: DataFrame, key: str, fields: list[str], tokenizer=None) -> DataFrame:
     """(key, field, term, pos). tokenizer: a function from a text Column to array<struct<term, pos>>, in place of the own rules."""
     if not fields:
         raise NoTextFields("no field is marked for text search")
-    stacked = df.select(F.col(f"`{key}`").alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields])).alias("f")).select("key", "f.field", "f.text").where("text is not null and text <> ''")
+    stacked = _stacked(df, key, fields)
     if tokenizer is not None:
         return stacked.select("key", "field", F.explode(tokenizer(F.col("text"))).alias("t")).select("key", "field", "t.term", "t.pos")
     runs = stacked.select("key", "field", F.posexplode(occurrences(F.col("text"))).alias("pos", "t"))
@@ -62,15 +68,20 @@ def tokens(df: DataFrame, key: str, fields: list[str], tokenizer=None) -> DataFr
     return runs.select("key", "field", F.explode(both).alias("term"), "pos")
 
 
-def from_postings(key: str, postings: DataFrame) -> TextIndex:
-    lengths = postings.groupBy("key").agg(F.sum("tf").alias("len"))
+def from_postings(key: str, postings: DataFrame, lengths: DataFrame | None = None) -> TextIndex:
+    if lengths is None:
+        lengths = postings.groupBy("key").agg(F.sum("tf").alias("len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("doc_count"), F.coalesce(F.sum("len"), F.lit(0)).alias("sum_len"))
     return TextIndex(key, postings, lengths, stats)
 
 
 def build(df: DataFrame, key: str, fields: list[str], tokenizer=None) -> TextIndex:
     found = tokens(df, key, fields, tokenizer)
-    return from_postings(key, found.groupBy("key", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")))
+    # lengths don't wait for the postings: a query's filter on terms then reaches below their aggregation, and only its terms are shuffled
+    own = tokenizer(F.col("text")) if tokenizer is not None else occurrences(F.col("text"))
+    size = F.size("t") if tokenizer is not None else F.size("t") + F.size(F.filter("t", lambda x: x["whole"].isNotNull()))
+    lengths = _stacked(df, key, fields).select("key", own.alias("t")).groupBy("key").agg(F.sum(size).alias("len")).where("len > 0")
+    return from_postings(key, found.groupBy("key", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")), lengths)
 
 
 def document_frequency(index: TextIndex) -> DataFrame:
@@ -112,7 +123,7 @@ def _matches(index: TextIndex, clauses: list[Clause]) -> DataFrame:
         places = index.postings.where(_wanted(c)).groupBy("key", "field").agg(*[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{k}") for k, w in enumerate(words)])
         at = [F.col(f"p{words.index(w)}") for w in c.words]
         # positions where the phrase starts, narrowed word by word
-        starts = reduce(lambda s, k: F.array_intersect(s, F.transform(at[k], lambda x, k=k: x - k)), range(1, len(at)), at[0])
+        starts = reduce(lambda s, k: F.array_intersect(s, F.transform(at[k], lambda x: x - k)), range(1, len(at)), at[0])
         first = index.postings.where(F.col("term") == c.words[0]).groupBy("field").agg(F.count(F.lit(1)).alias("df"))
         found = places.where(F.size(starts) > 0).join(F.broadcast(first), "field").join(index.lengths, "key").crossJoin(F.broadcast(stats))
         frames.append(found.groupBy("key").agg(F.max(_idf(F.col("df")) * _norm(F.lit(len(c.words)))).alias("score")).select(F.lit(i).alias("clause"), "key", "score"))

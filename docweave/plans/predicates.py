@@ -167,12 +167,16 @@ def contains(c: Column, kind: T.DataType, want) -> Column:
             inner = kind.elementType
         else:
             return F.lit(False)
-        return reduce(Column.__and__, [c.isNotNull(), *[F.exists(c, lambda x, v=v: F.coalesce(contains(x, inner, v), F.lit(False))) for v in want]])
+        return reduce(Column.__and__, [c.isNotNull(), *[_holds(c, inner, v) for v in want]])
     if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
         return F.lit(False)
     return equals(c, Json() if text and not isinstance(kind, Json) else kind, want)
 
 
+def _holds(c: Column, inner: T.DataType, want) -> Column:
+    return F.exists(c, lambda x: F.coalesce(contains(x, inner, want), F.lit(False)))
+
+
 def any_of(c: Column, kind: T.DataType, values) -> Column:
     """An array with any of the values, compared as text; a string that is one of them."""
     want = F.array(*[F.lit(str(v)) for v in values])

@@ -214,23 +214,24 @@ def fts_stats(spark, sf_dir):
 def ranked(name: str, text: str, sql: str) -> None:
     @query(name, f"with {_TERMS}{_PLACES}, {sql}")
     def run(spark, sf_dir):
-        return search.search(_index(spark, sf_dir), text, limit=0, digits=6).select(F.col("key").alias("doc_id"), F.col("score") + 0.0)
+        return search.search(_index(spark, sf_dir), text, limit=0, digits=6).select(F.col("key").alias("doc_id"), "score")
 
 
 def _out(sql: str) -> str:
     return f"select doc_id, round(s, 6) as score from ({sql})"
 
 
-QUERIES_TEXT = {
+_UNWANTED = "doc_id not in (select doc_id from postings where term = 'erth')"
+_TEXTS = {
     "fts_term": ("thnd", f"{_term('a', 'thnd')} {_out('select * from a')}"),
     "fts_and": ("thnd thou", f"{_term('a', 'thnd')}, {_term('b', 'thou')} {_out('select doc_id, a.s + b.s as s from a join b using (doc_id)')}"),
     "fts_or": ("thnd OR thou", f"{_term('a', 'thnd')}, {_term('b', 'thou')} {_out('select doc_id, sum(s) as s from (select * from a union all select * from b) group by 1')}"),
-    "fts_not": ("the -erth", f"{_term('a', 'the')} {_out(chr(10).join(['select * from a where doc_id not in (select doc_id from postings where term = ', chr(39) + 'erth' + chr(39), ')']))}"),
+    "fts_not": ("the -erth", f"{_term('a', 'the')} {_out(f'select * from a where {_UNWANTED}')}"),
     "fts_prefix": ("thn*", f"a as (select doc_id, max(ln(1 + (n - df + 0.5) / (df + 0.5)) * {_tf('1')}) as s from postings join lengths using (doc_id), stats, (select count(distinct doc_id) as df from postings where starts_with(term, 'thn')) where starts_with(term, 'thn') group by 1) {_out('select * from a')}"),
     "fts_phrase": ('"of the"', f"hit as (select distinct a.doc_id from single a join single b on a.doc_id = b.doc_id and b.i = a.i + 1 where a.term = 'of' and b.term = 'the'), a as (select doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * {_tf('2')} as s from hit join lengths using (doc_id), stats, (select count(*) as df from postings where term = 'of')) {_out('select * from a')}"),
-    "fts_mixed": ("(thnd OR thou the -erth".replace("(", ""), f"{_term('a', 'thnd')}, {_term('b', 'thou')}, {_term('c', 'the')} {_out('select doc_id, any_value(c.s) + sum(x.s) as s from (select * from a union all select * from b) x join c using (doc_id) where doc_id not in (select doc_id from postings where term = ' + chr(39) + 'erth' + chr(39) + ') group by doc_id')}"),
+    "fts_mixed": ("thnd OR thou the -erth", f"{_term('a', 'thnd')}, {_term('b', 'thou')}, {_term('c', 'the')} {_out('select doc_id, any_value(c.s) + sum(x.s) as s from (select * from a union all select * from b) x join c using (doc_id) where ' + _UNWANTED + ' group by doc_id')}"),
 }
-for _name, (_text, _sql) in QUERIES_TEXT.items():
+for _name, (_text, _sql) in _TEXTS.items():
     ranked(_name, _text, _sql)
 
 _TWO = f"{_term('a', 'the')}, {_term('b', 'of')}, hits as ({_out('select doc_id, a.s + b.s as s from a join b using (doc_id)')})"

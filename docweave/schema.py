@@ -15,9 +15,21 @@ class SchemaError(ValueError):
     pass
 
 
+_KINDS = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "binary": T.BinaryType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
+def kind_of(text: str) -> T.DataType:
+    """A type from its name; those that aren't plain, or arrays of plain ones, need a session."""
+    if text in _KINDS:
+        return _KINDS[text]
+    if text.startswith("array<") and text[6:-1] in _KINDS:
+        return T.ArrayType(_KINDS[text[6:-1]])
+    return T.DataType.fromDDL(text)
+
+
 def field(name: str, kind: T.DataType | str, pk: bool = False, index: bool | str = False, unique: bool | str = False, fts: bool = False, vector: dict | None = None) -> T.StructField:
     """index and unique: True for the field alone, or the name of a group of fields. vector: {dim, metric, inline}."""
-    kind = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind
+    kind = kind_of(kind) if isinstance(kind, str) else kind
     meta: dict = {}
     if pk:
         meta["pk"] = True
