@@ -7,8 +7,8 @@ lack at most n - ceil(THRESHOLD * n) of a partner's, so its prefix is extended u
 class of pairs that it enters, outnumber that by SHARED: then partners share SHARED signatures at least. Sets below SMALL tokens, which
 may be too short for that, and all that could be partners of theirs, are indexed by plain prefixes as well.
 
-Equal sets are one from the start, so copies cost no pairs. Candidates with enough shared signatures are counted, and verified on
-the whole sets in cells: a cell has the pairs around one set, and each set travels once a cell.
+Equal sets are one from the start, so copies cost no pairs. Of two sets, their sizes say how many signatures they share at least if they are
+partners; candidates that do are verified on the whole sets in cells: a cell has the pairs around one set, and each set travels once a cell.
 
 Edge cases: null texts, texts without words and rows with a null doc_id have no partners; a text of fewer words than an n-gram is
 one token; words are compared in lower case. Rows with the same doc_id and text count once. Ties don't arise: every pair at or above
@@ -30,7 +30,7 @@ N, THRESHOLD = 2, 0.55
 #: Signatures that partners of SMALL tokens or more share.
 SHARED, SMALL = 3, 20
 #: Counts beyond which a token is frequent, apart from what other tokens of its sketch bucket bring; classes of frequent tokens.
-FREQUENT, CLASSES = 512, 8
+FREQUENT, CLASSES = 4096, 8
 SKETCH_BITS, CHUNKS = 20, 64
 #: Pairs that a cell of the verification holds about.
 CELL_PAIRS = 50_000
@@ -76,6 +76,16 @@ def need(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * n - 1e-9).astype(np.int64)
 
 
+def shares(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Signatures that partners of n and m tokens share at least.
+
+    Of a set's n - need(n) + SHARED signatures, at most as many are missing in the partner as tokens; those are n less what both have in common.
+    """
+    common = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
+    least = common - np.maximum(need(n, threshold), need(m, threshold)) + np.where(np.minimum(n, m) < SMALL, 1, SHARED)
+    return np.maximum(least, 1)
+
+
 def signatures(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, frequent: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set) for sets that follow one another; the lowest bit tells plain prefixes from the others."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -186,7 +196,11 @@ def _pairs_of(sig: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float)
 
 
 def _candidates(docs: DataFrame, counts: np.ndarray, n: int, threshold: float) -> DataFrame:
-    """(a, b): keys, a < b, of sets that share enough signatures."""
+    """(a, b): keys, a < b, of sets that share enough signatures.
+
+    The sets of each signature travel as a list to where lists with the same first set meet. Lists of one group of copies mostly begin with
+    one of a few sets, so its pairs are counted there, rather than sent once a signature.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     frequent = FREQUENT + 2 * float(counts.mean())
 
@@ -198,61 +212,75 @@ def _candidates(docs: DataFrame, counts: np.ndarray, n: int, threshold: float) -
                 sig, of = signatures(tokens, sizes, shared.value, frequent, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[of].view(np.int64)), pa.array(sizes[of].astype(np.int32))], names=["sig", "key", "n"])
 
+    def lists(batches):
+        """(hub, plain, keys, sizes) of each signature that several sets have."""
+        rest: list[np.ndarray] = []
+        waiting, rows = [], 0
+
+        def take(last):
+            nonlocal rest, waiting, rows
+            sig, key, size = (np.concatenate(x) for x in zip(*([tuple(rest)] if rest else []), *waiting))
+            waiting, rows = [], 0
+            end = len(sig) if last else int(np.searchsorted(sig, sig[-1]))
+            rest = [sig[end:], key[end:], size[end:]]
+            sig, key, size = sig[:end], key[:end], size[:end]
+            fresh = np.ones(end, bool)
+            fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+            sig, key, size = sig[fresh], key[fresh], size[fresh]
+            if not len(sig):
+                return None
+            first = np.concatenate([[True], sig[1:] != sig[:-1]])
+            many = np.bincount(np.cumsum(first) - 1)
+            keep = np.repeat(many > 1, many)
+            heads = first & keep
+            if not heads.any():
+                return None
+            ends = np.concatenate([[0], np.cumsum(many[many > 1])]).astype(np.int32)
+            columns = [pa.array(key[heads]), pa.array((sig[heads] & 1) == 1), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[keep])), pa.ListArray.from_arrays(pa.array(ends), pa.array(size[keep]))]
+            return pa.RecordBatch.from_arrays(columns, names=["hub", "plain", "keys", "sizes"])
+
+        for part in batches:
+            if part.num_rows:
+                waiting.append(tuple(part.column(i).to_numpy() for i in range(3)))
+                rows += part.num_rows
+                if rows > 300_000 and (out := take(False)):
+                    yield out
+        if (waiting or rest) and (out := take(True)):
+            yield out
+
     def pair(batches):
         held: list = []
         have = 0
 
         def close():
             nonlocal held, have
-            a, b, small = (np.concatenate(x) for x in zip(*held))
+            a, b, least = (np.concatenate(x) for x in zip(*held))
             held, have = [], 0
             order = np.lexsort((b, a))
-            a, b, small = a[order], b[order], small[order]
+            a, b, least = a[order], b[order], least[order]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             times = np.diff(np.append(first, len(a))).astype(np.int32)
             for k in range(0, len(first), 100_000):
                 f = first[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(a[f]), pa.array(b[f]), pa.array(small[f]), pa.array(times[k : k + 100_000])], names=["a", "b", "small", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[f]), pa.array(b[f]), pa.array(least[f].astype(np.int32)), pa.array(times[k : k + 100_000])], names=["a", "b", "least", "times"])
 
-        def lists(sig, key, size):
-            nonlocal have
-            fresh = np.ones(len(sig), bool)
-            fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            sig, key, size = sig[fresh], key[fresh], size[fresh].astype(np.int64)
+        for part in slices(batches, 4096):
+            many = part.column(2).value_lengths().to_numpy()
+            sig = np.repeat(2 * np.arange(len(many)) + part.column(1).to_numpy(zero_copy_only=False), many)
+            key, size = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy().astype(np.int64)
             for i, j in _pairs_of(sig, key, size, threshold):
                 if len(i):
-                    held.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.minimum(size[i], size[j]) < SMALL))
+                    held.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), shares(size[i], size[j], threshold)))
                     have += len(i)
                     if have > 3_000_000:
                         yield from close()
-
-        rest: list[np.ndarray] = []
-        waiting, rows = [], 0
-
-        def take(last):
-            nonlocal rest, waiting, rows
-            sig, key, size = (np.concatenate(x) for x in zip(*([tuple(rest)] if rest else []), *waiting))
-            waiting, rows = [], 0
-            end = len(sig) if last else int(np.searchsorted(sig, sig[-1]))
-            rest = [sig[end:], key[end:], size[end:]]
-            if end:
-                yield from lists(sig[:end], key[:end], size[:end])
-
-        for part in batches:
-            if part.num_rows:
-                waiting.append(tuple(part.column(i).to_numpy() for i in range(3)))
-                rows += part.num_rows
-                if rows > 300_000:
-                    yield from take(False)
-        if waiting or rest:
-            yield from take(True)
         if held:
             yield from close()
 
     signs = docs.select("_doc", "text").mapInArrow(sign, "sig bigint, key bigint, n int")
-    raw = signs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(pair, "a bigint, b bigint, small boolean, times int")
-    counted = raw.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("small").alias("small"))
-    return counted.where(F.col("small") | (F.col("times") >= SHARED)).select("a", "b")
+    found = signs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lists, "hub bigint, plain boolean, keys array<bigint>, sizes array<int>")
+    raw = found.repartition("hub").sortWithinPartitions("hub").mapInArrow(pair, "a bigint, b bigint, least int, times int")
+    return raw.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("least").alias("least")).where("times >= least").select("a", "b")
 
 
 def _base(docs: DataFrame) -> DataFrame:
