@@ -148,6 +148,35 @@ def test_recall_and_precision(spark, docs_of):
         assert found <= true and len(found & true) >= 0.95 * len(true) > 150
 
 
+def held(rows, items):
+    """(document, item) pairs by the edit distance of every pair."""
+    out = set()
+    for i, item in items:
+        low = decontaminate.normal(item)
+        out |= {(d, i) for d, t in rows if slow_distance(low, decontaminate.normal(t)) <= int(len(low) * decontaminate.THETA)}
+    return out
+
+
+def found(spark, docs_of, rows, items, chars=decontaminate.SHARD_CHARS):
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs_of(rows), spark.createDataFrame(items, "item_id bigint, text string"), chars).collect()}
+
+
+def test_duplicated_and_templated_items(spark, docs_of):
+    rng = random.Random(12)
+    vocabulary = sorted({"".join(rng.choice("aeioubdfgklmnrst") for _ in range(rng.randrange(2, 8))) for _ in range(300)})
+    words = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    copied, short = words(16), "three equal words"
+    template = words(12).split()
+    filled = [" ".join(template[:6] + [rng.choice(vocabulary)] + template[6:]) for _ in range(12)]
+    items = list(enumerate([copied] * 15 + [short] * 2 + filled + [words(14) for _ in range(3)]))
+    texts = [copied, hurt(rng, copied, 0.1, vocabulary), short, filled[0], hurt(rng, filled[3], 0.12, vocabulary), items[-1][1], words(10)]
+    rows = [(d, f"{words(8)} {t} {words(8)}") for d, t in enumerate(texts)]
+    true = held(rows, items)
+    assert len(true) >= 15 * 2 + 2 + 12
+    for chars in (decontaminate.SHARD_CHARS, 1000, 200, 1):
+        assert found(spark, docs_of, rows, items, chars) == true
+
+
 def test_cgk_keys_meet():
     """Strings within the allowed distance share a key with probability 0.9 and more; unrelated ones seldom do."""
     rng = random.Random(8)
