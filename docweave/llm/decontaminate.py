@@ -8,7 +8,7 @@ its pieces, and so down to a piece, so that a hit is followed only while its gro
 Which pieces are taken changes the time, not the result: those that the shard's own items make out to be rare.
 
 The keys of Chakraborty, Goldenberg and Koucky's walks (Embedding) map edit distance to Hamming distance: WALKS random walks, and
-TABLES samples of BITS places of each. They miss some close pairs, so the search doesn't ask them.
+TABLES samples of BITS places of each. They may miss close pairs, so the search doesn't ask them.
 
 The items are broadcast in shards of at most SHARD_CHARS characters, each with its own pass over the documents. Equal items are
 searched once and each reported.

@@ -177,6 +177,21 @@ def test_duplicated_and_templated_items(spark, docs_of):
         assert found(spark, docs_of, rows, items, chars) == true
 
 
+def test_edits_in_every_second_word(spark, docs_of):
+    """No two words that stand together are left whole, and the distance is within THETA."""
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9))) for _ in range(n)]
+    items, rows = [], []
+    for i, n in enumerate((3, 5, 8, 15, 25, 40, 60, 100)):
+        w = words(n)
+        items.append((i, " ".join(w)))
+        for first in (0, 1):
+            bad = [x[:2] + "z" + x[3:] if k % 2 == first else x for k, x in enumerate(w)]
+            rows.append((2 * i + first, " ".join(words(20) + bad + words(20))))
+    true = held(rows, items)
+    assert len(true) == 16 and found(spark, docs_of, rows, items) == true
+
+
 def test_cgk_keys_meet():
     """Strings within the allowed distance share a key with probability 0.9 and more; unrelated ones seldom do."""
     rng = random.Random(8)
