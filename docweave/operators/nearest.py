@@ -15,6 +15,8 @@ from docweave.operators.find import as_query, find
 
 #: Query vectors that a pass over the table is held against at once.
 QUERIES_AT_ONCE = 4096
+#: Scores that a task holds at once; bounds its memory, not the result.
+SCORES_AT_ONCE = 1 << 21
 
 
 class VectorError(ValueError):
@@ -69,6 +71,7 @@ def nearest_many(df: DataFrame, vector: str, key: str, queries: DataFrame, query
             names, q = shared.value
             best = None
             schema = None
+            low = np.full(len(q), -np.inf)
             for batch in batches:
                 rows = pa.Table.from_batches([batch])
                 fine = pa.compute.equal(pa.compute.list_value_length(rows["v"]), q.shape[1])
@@ -76,21 +79,35 @@ def nearest_many(df: DataFrame, vector: str, key: str, queries: DataFrame, query
                 if not rows.num_rows:
                     continue
                 schema = rows.schema.field("key").type
-                x = np.asarray(rows["v"].combine_chunks().flatten()).reshape(-1, q.shape[1])
-                if metric == "l2":
-                    s = -np.sqrt(np.maximum(((q[:, None, :] - x[None]) ** 2).sum(2) if len(q) * x.size < 2e7 else (q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0))
-                else:
+                vectors = np.asarray(rows["v"].combine_chunks().flatten()).reshape(-1, q.shape[1])
+                keys = rows["key"].to_numpy()
+                step = max(1, SCORES_AT_ONCE // len(q))
+                for at in range(0, len(vectors), step):
+                    x = vectors[at : at + step]
                     s = q @ x.T
-                    if metric == "cosine":
-                        n = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))
-                        s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
-                s = (np.round(s, digits) if digits is not None else s) + 0.0
-                frame = pd.DataFrame({"q": np.repeat(np.arange(len(q)), len(x)), "key": np.tile(rows["key"].to_numpy(), len(q)), "score": s.ravel()})
-                if len(x) > k:  # what can't be among the best of this batch goes before sorting
-                    cut = np.partition(s, len(x) - k, 1)[:, len(x) - k]
-                    frame = frame[(s >= cut[:, None]).ravel()]
-                best = frame if best is None else pd.concat([best, frame])
-                best = best.sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(k)
+                    slack = 0.0
+                    if metric == "l2":
+                        total = (q**2).sum(1)[:, None] + (x**2).sum(1)
+                        slack = 1e-6 * np.sqrt(total.max(initial=0)) + (10.0**-digits if digits is not None else 0)
+                        s = -np.sqrt(np.maximum(total - 2 * s, 0))
+                    else:
+                        if metric == "cosine":
+                            n = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))
+                            s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+                        s = (np.round(s, digits) if digits is not None else s) + 0.0
+                    # what can't be among the best of this block, or of those so far, goes before sorting
+                    cut = low if len(x) <= k or np.isfinite(low).all() else np.maximum(low, np.partition(s, len(x) - k, 1)[:, len(x) - k])
+                    i, j = np.nonzero(s >= (cut - slack)[:, None])
+                    kept = s[i, j]
+                    if metric == "l2":  # sums of squares lose digits where vectors are close
+                        kept = -np.sqrt(np.concatenate([((q[i[b : b + 8192]] - x[j[b : b + 8192]]) ** 2).sum(1) for b in range(0, len(i), 8192)] or [np.zeros(0)]))
+                        kept = (np.round(kept, digits) if digits is not None else kept) + 0.0
+                    frame = pd.DataFrame({"q": i, "key": keys[at + j], "score": kept})
+                    best = frame if best is None else pd.concat([best, frame])
+                    best = best.sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(k)
+                    full = best.groupby("q")["score"].agg(["size", "min"])
+                    full = full[full["size"] == k]
+                    low[full.index.to_numpy()] = full["min"].to_numpy()
             if best is not None and len(best):
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best["q"]]), pa.array(best["key"].to_numpy(), schema), pa.array(best["score"].to_numpy(float))], names=["query", "key", "score"])
 

@@ -293,6 +293,22 @@ for _metric in METRICS:
     _batch(_metric)
 
 
+def _all(metric: str) -> None:
+    # every row is a query
+    sql = f"""with q as (select vec_id as query, embedding::double[] as q from embeddings),
+    s as (select query, vec_id as key, round({_SCORES[metric]}, 6) + 0.0 as score from embeddings, q)
+    select *, row_number() over (partition by query order by score desc, key)::int as rank from s qualify rank <= 5"""
+
+    @query(f"vec_all_{metric}", sql)
+    def run(spark, sf_dir):
+        e = table(spark, sf_dir, "embeddings")
+        return nearest.nearest_many(e, "embedding", "vec_id", e, "vec_id", "embedding", 5, metric, 6)
+
+
+for _metric in METRICS:
+    _all(_metric)
+
+
 # snapshots, backups and streams, with a catalog in a folder of the session
 
 

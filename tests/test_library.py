@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,6 +190,27 @@ def test_nearest(spark):
     assert nearest.nearest_many(df, "v", "id", df.where("false"), "id", "v").count() == 0
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_every_row_is_a_query(spark, monkeypatch, metric):
+    """In several passes and blocks, against all pairs."""
+    from docweave import registry
+
+    monkeypatch.setattr(nearest, "QUERIES_AT_ONCE", 150)
+    monkeypatch.setattr(nearest, "SCORES_AT_ONCE", 3000)
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids], float)
+    got: dict = {}
+    for r in registry.QUERIES[f"vec_all_{metric}"](spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["key"], round(r["score"], 6)))
+    assert set(got) == set(rows)
+    for i, q in zip(ids, x):
+        s = -np.sqrt(((x - q) ** 2).sum(1)) if metric == "l2" else (x * q).sum(1)
+        s = np.round(s / np.sqrt((x**2).sum(1) * (q**2).sum()) if metric == "cosine" else s, 6) + 0.0
+        best = sorted(zip(-s, ids))[:5]
+        assert sorted(got[i]) == [(k, b, round(-a, 6)) for k, (a, b) in enumerate(best, 1)]
+
+
 # schemas
 
 
