@@ -192,6 +192,17 @@ def test_edits_in_every_second_word(spark, docs_of):
     assert len(true) == 16 and found(spark, docs_of, rows, items) == true
 
 
+def test_long_insertions(spark, docs_of):
+    """Words put into an item in one place, up to THETA of its characters."""
+    rng = random.Random(22)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
+    item = words(100)
+    rows = [(k, " ".join(words(30) + item[:at] + words(k) + item[at:] + words(30))) for k, at in zip(range(1, 17), (50, 30, 70, 50) * 4)]
+    low = " ".join(item)
+    true = {(d, 0) for d, t in rows if decontaminate.least_distance(low, t, 10**6) <= int(len(low) * decontaminate.THETA)}
+    assert {(d, 0) for d in range(1, 15)} <= true and found(spark, docs_of, rows, [(0, low)]) == true
+
+
 def test_cgk_keys_meet():
     """Strings within the allowed distance share a key with probability 0.9 and more; unrelated ones seldom do."""
     rng = random.Random(8)
