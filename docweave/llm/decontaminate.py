@@ -14,12 +14,13 @@ The items are broadcast in shards of at most SHARD_CHARS characters, each with i
 searched once and each reported.
 
 Edge cases: null texts hold nothing and null items are never found; items of fewer than three words are too general and are
-skipped; repeated document rows each give their rows; long texts are scanned whole. Only doc_id, text and item_id are read,
+skipped, where two characters of a script without spaces count as a word; repeated document rows each give their rows; long texts are scanned whole. Only doc_id, text and item_id are read,
 whatever other columns are called.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 import numpy as np
@@ -39,6 +40,16 @@ CHARS_AT_ONCE, HITS_AT_ONCE, BLOCK = 1 << 20, 1 << 15, 400
 GROUPS = (2, 4, 8)
 
 
+#: Characters of scripts without spaces: Thai to Tibetan, Burmese, Khmer, kana, Chinese. Two count as a word.
+SPACELESS = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def telling(text: str) -> bool:
+    """Whether a text has three words at least, of whatever script."""
+    rest, n = SPACELESS.subn(" ", text)
+    return len(rest.split()) + (n + 1) // 2 >= 3 or text.count(" ") >= 2
+
+
 def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -197,7 +208,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, normal(t)) for i, t in items]
-        self.items = [(i, t) for i, t in self.items if t.count(" ") >= 2]
+        self.items = [(i, t) for i, t in self.items if telling(t)]
         self.chars = np.array([len(t) for _, t in self.items], np.int64)
         self.most = (self.chars * THETA).astype(np.int64)
         self.same: dict[str, list[int]] = {}

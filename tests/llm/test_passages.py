@@ -203,6 +203,16 @@ def test_long_insertions(spark, docs_of):
     assert {(d, 0) for d in range(1, 15)} <= true and found(spark, docs_of, rows, [(0, low)]) == true
 
 
+def test_scripts_without_spaces(spark, docs_of):
+    rng = random.Random(23)
+    run = lambda low, n: "".join(chr(low + rng.randrange(60)) for _ in range(n))
+    items = [(0, run(0x4E00, 60)), (1, run(0x3041, 30)), (2, run(0x0E01, 80)), (3, run(0x20000, 40)), (4, run(0x4E00, 6)), (5, "two words"), (6, run(0x4E00, 2))]
+    rows = [(d, run(0x4E80, 50) + t + run(0x4E80, 50)) for d, (_, t) in enumerate(items)]
+    rows += [(10 + d, run(0x4E80, 9) + t[:7] + "x" + t[8:20] + t[21:] + run(0x4E80, 9)) for d, (_, t) in enumerate(items[:4])]
+    true = held(rows, items[:5])
+    assert len(true) >= 9 and found(spark, docs_of, rows, items) == true
+
+
 def test_cgk_keys_meet():
     """Strings within the allowed distance share a key with probability 0.9 and more; unrelated ones seldom do."""
     rng = random.Random(8)
