@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns into strings at once; bounds its memory, not the result.
 SLICE = 512
-#: Rows up to which a table of document ids is broadcast; beyond it, it is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes in memory up to which a table is broadcast; beyond it, it is joined by shuffle.
+BROADCAST_BYTES = 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,37 +49,35 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/docweave-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def joined(big: DataFrame, small: DataFrame, rows: int, on: str | list[str], how: str) -> DataFrame:
-    """big joined with a table of so many rows, which is broadcast if they are few, else shuffled."""
-    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+def drop(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.written_at)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
+def joined(big: DataFrame, small: DataFrame, size: int, on: str | list[str], how: str) -> DataFrame:
+    """big joined with a table of so many bytes in memory, which is broadcast if they are few, else shuffled."""
+    return big.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
 
-def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE) -> DataFrame:
-    """df through kernel, a slice of rows at a time, with Arrow and no shuffle."""
 
-    def run(batches):
-        for part in slices(batches, rows):
-            out = kernel(part)
-            if out is not None and out.num_rows:
-                yield out
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{base}"
+    while name in taken:
+        name += "_"
+    return name
 
-    return df.mapInArrow(run, schema)
 
-
-def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """An Arrow list column of consecutive runs of values."""
-    ends = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

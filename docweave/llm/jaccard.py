@@ -1,18 +1,23 @@
-"""Operator 3: all pairs of documents whose word n-gram sets have a Jaccard similarity of THRESHOLD at least.
+"""Operator 3: documents whose word n-gram sets have a Jaccard similarity of THRESHOLD at least.
 
-A set's tokens, hashes of its n-grams, are ordered from rare to frequent by a count sketch of fixed size over all documents; any
+A set's tokens, hashes of its n-grams, are ordered from rare to frequent. How often a token occurs is estimated from two count sketches of fixed
+size over all documents, one of words and one of tokens: about as often as chance brings its words together, unless its own bucket says more. Any
 order gives right results, a good one short lists. Tokens up to FREQUENT occurrences form a class that is indexed by single
 tokens; the frequent ones fall into CLASSES classes by hash, which are indexed by combinations of two tokens. A set of n tokens may
 lack at most n - ceil(THRESHOLD * n) of a partner's, so its prefix is extended until the tokens of its classes, less one for each
 class of pairs that it enters, outnumber that by SHARED: then partners share SHARED signatures at least. Sets below SMALL tokens, which
 may be too short for that, and all that could be partners of theirs, are indexed by plain prefixes as well.
 
-Equal sets are one from the start, so copies cost no pairs. Of two sets, their sizes say how many signatures they share at least if they are
-partners; candidates that do are verified on the whole sets in cells: a cell has the pairs around one set, and each set travels once a cell.
+Equal sets are one from the start, so copies cost no pairs. Signatures and lists travel in packed blocks. The lists of one group of near copies
+mostly begin with one of a few sets, and meet there; lists of more than LONG sets are split into blocks of sets, each pair of blocks on its own.
+Of two sets, their sizes say how many signatures they share at least if they are partners; candidates that do are verified on the whole sets, as
+64-bit hashes of n-grams, in cells of at most two blocks of BLOCK sets about. What leaves a cell grows with its sets, not with its pairs:
+how many partners each has, and edges that connect them.
 
-Edge cases: null texts, texts without words and rows with a null doc_id have no partners; a text of fewer words than an n-gram is
-one token; words are compared in lower case. Rows with the same doc_id and text count once. Ties don't arise: every pair at or above
-the threshold is reported. Only doc_id and text are read, whatever other columns are called; keep_one() passes all columns on.
+Edge cases: null and empty texts and texts without words have no partners; rows with a null doc_id are left out; a text of fewer words than an
+n-gram is one token; words are compared in lower case; very long texts are compared whole. Rows with the same doc_id and text count once, and a doc_id with
+several texts has a row for each set. An empty table gives an empty result. Ties don't arise: every pair at or above the threshold counts.
+Only doc_id and text are read, whatever other columns are called; keep_one() passes all columns on.
 """
 
 from __future__ import annotations
@@ -24,39 +29,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import WordHash, joined, mix, slices, windows, written
+from docweave.llm.common import WordHash, drop, fresh_name, joined, mix, slices, windows, written
 
 N, THRESHOLD = 2, 0.55
 #: Signatures that partners of SMALL tokens or more share.
 SHARED, SMALL = 3, 20
-#: Counts beyond which a token is frequent, apart from what other tokens of its sketch bucket bring; classes of frequent tokens.
+#: Occurrences beyond which a token is frequent; classes of frequent tokens.
 FREQUENT, CLASSES = 4096, 8
 SKETCH_BITS, CHUNKS = 20, 64
-#: Pairs that a cell of the verification holds about.
-CELL_PAIRS = 50_000
+#: Signatures that one part of an exchange holds about, and that a task packs at once.
+PART, LOT = 1_000_000, 2_000_000
+#: Sets that a list holds before it is split, and sets of a block.
+LONG, BLOCK = 1024, 512
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
-def token_sets(texts: list, hashes: WordHash, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, sizes, keys): the sorted distinct tokens of each text, one text after the other, and a hash of each whole set."""
+def word_bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+class Counts:
+    """About how often tokens occur. Whole numbers all through, so that a token has one place in the order wherever it stands."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, n: int):
+        self.log = np.rint(256 * np.log2(np.maximum(words, 1))).astype(np.int32)
+        total = max(1.0, float(words.sum()))
+        top = int(n * 256 * np.log2(total)) + n + 1
+        self.chance = np.exp2(np.arange(top + 1) / 256 - (n - 1) * np.log2(total)).astype(np.float32)
+        self.tokens, self.mean = tokens.astype(np.float32), np.float32(tokens.mean())
+
+    def seen(self, tokens: np.ndarray, score: np.ndarray) -> np.ndarray:
+        count = self.tokens[bucket(tokens)]
+        return np.maximum(np.minimum(count, self.chance[score]), count - self.mean)
+
+
+def token_sets(texts: list, hashes: WordHash, n: int = N, log: np.ndarray | None = None, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(tokens, sizes, keys, score): the sorted distinct tokens of each text, one text after the other, a hash of each whole set, and with log the sum of it over the words of a token. Words are counted in sketch."""
     words = [(t or "").lower().split() for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     flat = hashes.of([w for x in words for w in x])
+    if sketch is not None:
+        sketch += np.bincount(word_bucket(flat), minlength=len(sketch))
     owner = np.repeat(np.arange(len(words)), lengths)
     grams = windows(flat, n)
     inside = owner[: len(grams)] == owner[n - 1 :] if len(grams) else np.zeros(0, bool)
     tokens, owners = grams[inside], owner[: len(grams)][inside]
+    score = None
+    if log is not None:
+        own = log[word_bucket(flat)]
+        score = sum(own[k : k + len(grams)] for k in range(n))[inside] if len(grams) else np.zeros(0, np.int32)
     short = np.flatnonzero((lengths > 0) & (lengths < n))
     if len(short):
         starts = np.cumsum(lengths) - lengths
         with np.errstate(over="ignore"):
             own = np.array([mix(flat[starts[i] : starts[i] + lengths[i]] * _A).sum(dtype=np.uint64) for i in short], np.uint64)
         tokens, owners = np.concatenate([tokens, own]), np.concatenate([owners, short])
+        score = None if score is None else np.concatenate([score, np.zeros(len(short), np.int32)])
     order = np.lexsort((tokens, owners))
     tokens, owners = tokens[order], owners[order]
-    fresh = np.ones(len(tokens), bool)
-    fresh[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
-    tokens, owners = tokens[fresh], owners[fresh]
+    first = np.ones(len(tokens), bool)
+    first[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
+    tokens, owners = tokens[first], owners[first]
+    score = None if score is None else score[order][first]
     sizes = np.bincount(owners, minlength=len(words))
     keys = np.zeros(len(words), np.uint64)
     if len(tokens):
@@ -64,7 +99,7 @@ def token_sets(texts: list, hashes: WordHash, n: int = N) -> tuple[np.ndarray, n
         with np.errstate(over="ignore"):
             total = np.add.reduceat(mix(tokens * _B + np.uint64(1)), (np.cumsum(sizes) - sizes)[some])
             keys[some] = mix(total + sizes[some].astype(np.uint64) * _A)
-    return tokens, sizes, keys
+    return tokens, sizes, keys, score
 
 
 def bucket(tokens: np.ndarray) -> np.ndarray:
@@ -86,10 +121,9 @@ def shares(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.maximum(least, 1)
 
 
-def signatures(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, frequent: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) for sets that follow one another; the lowest bit tells plain prefixes from the others."""
+def signatures(tokens: np.ndarray, sizes: np.ndarray, seen: np.ndarray, frequent: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set) for sets that follow one another, with how often each token occurs; the lowest bit tells plain prefixes from the others."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    seen = counts[bucket(tokens)]
     order = np.lexsort((tokens, seen, owner))
     tokens, seen = tokens[order], seen[order]
     starts = np.cumsum(sizes) - sizes
@@ -123,33 +157,32 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, freque
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """(chunk, doc, key, n, counts): a row for each set, and the parts of each task's sketch."""
+    """(chunk, doc, key, n, counts): a row for each document, with its set, and the parts of each task's sketches of tokens and of words."""
 
     def run(batches):
-        hashes, total, held, have = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        hashes, total, words, held, have = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(1 << SKETCH_BITS, np.int64), [], 0
         for part in slices(batches):
-            tokens, sizes, keys = token_sets(part.column(1).to_pylist(), hashes, n)
+            tokens, sizes, keys, _ = token_sets(part.column(1).to_pylist(), hashes, n, sketch=words)
             held.append(bucket(tokens))
             have += len(tokens)
             if have > 2_000_000:
                 total += np.bincount(np.concatenate(held), minlength=len(total))
                 held, have = [], 0
-            some = np.flatnonzero(sizes)
-            if len(some):
-                empty = pa.nulls(len(some), pa.int32())
-                yield pa.RecordBatch.from_arrays([empty, part.column(0).take(pa.array(some)), pa.array(keys[some].view(np.int64)), pa.array(sizes[some].astype(np.int32)), pa.nulls(len(some), pa.binary())], names=["chunk", "doc", "key", "n", "counts"])
+            rows = part.num_rows
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int32()), part.column(0), pa.array(keys.view(np.int64), mask=sizes == 0), pa.array(sizes.astype(np.int32)), pa.nulls(rows, pa.binary())], names=["chunk", "doc", "key", "n", "counts"])
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total))
         if total.any():
-            packed = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(total, CHUNKS)]
-            none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), none, none, pa.nulls(CHUNKS, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "doc", "key", "n", "counts"])
+            packed = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in (*np.split(total, CHUNKS), *np.split(words, CHUNKS))]
+            none = pa.nulls(2 * CHUNKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * CHUNKS, dtype=np.int32)), none, none, pa.nulls(2 * CHUNKS, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "doc", "key", "n", "counts"])
 
     return docs.mapInArrow(run, "chunk int, doc bigint, key bigint, n int, counts binary")
 
 
-def _sketch(survey: DataFrame) -> np.ndarray:
-    """The counts of all tasks, added up on the executors; 2**SKETCH_BITS numbers come to the driver at any size of the input."""
+def _counts(survey: DataFrame, n: int) -> Counts:
+    """The sketches of all tasks, added up on the executors; 2 * 2**SKETCH_BITS numbers come to the driver at any size of the input."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -162,12 +195,155 @@ def _sketch(survey: DataFrame) -> np.ndarray:
 
     rows = survey.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
     size = (1 << SKETCH_BITS) // CHUNKS
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
+    out = np.zeros(2 << SKETCH_BITS, np.uint32)
     for r in rows:
         out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["counts"], "<u4")
+    return Counts(out[1 << SKETCH_BITS :], out[: 1 << SKETCH_BITS], n)
+
+
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns of numbers byte plane by byte plane, so that small numbers cost little."""
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() for x in columns)
+    squeeze = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    return squeeze.compress(raw) + squeeze.flush()
+
+
+def _columns(packed: bytes, *shapes: tuple[int, str]) -> list[np.ndarray]:
+    raw, at, out = np.frombuffer(zlib.decompress(packed, -15), np.uint8), 0, []
+    for n, kind in shapes:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
     return out
 
 
+def _narrow(k: int) -> str:
+    return "<u2" if k <= 1 << 16 else "<u4"
+
+
+def _parts_of(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, rest) of hashes: both grow with the hash."""
+    with np.errstate(over="ignore"):
+        x = (h >> np.uint64(32)) * np.uint64(parts) + ((h & _LOW) * np.uint64(parts) >> np.uint64(32))
+    return (x >> np.uint64(32)).astype(np.int64), (x & _LOW).astype(np.uint32)
+
+
+_BLOCKS = "part int, n int, k int, m int, body binary, ids binary"
+
+
+def _block(rows: list[tuple]) -> pa.RecordBatch:
+    part, n, k, m, body, ids = zip(*rows)
+    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int32()) for x in (part, n, k, m)], pa.array(body, pa.binary()), pa.array(ids, pa.binary())], names=["part", "n", "k", "m", "body", "ids"])
+
+
+def _by_part(batches):
+    """Yields the rows of each part that this task has, in the order of parts."""
+    now, held = None, []
+    for batch in slices(batches, 64):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if row[0] != now and held:
+                yield held
+                held = []
+            now = row[0]
+            held.append(row[1:])
+    if held:
+        yield held
+
+
+def _pack_signatures(sig: np.ndarray, of: np.ndarray, keys: np.ndarray, sizes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Blocks of signatures, each with the keys and sizes of its sets once."""
+    order = np.argsort(sig)
+    sig, of = sig[order], of[order]
+    part, rest = _parts_of(sig, parts)
+    rest = rest & ~np.uint32(1) | (sig & np.uint64(1)).astype(np.uint32)
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    rows = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        own, which = np.unique(of[a:b], return_inverse=True)
+        step = np.diff(rest[a:b], prepend=np.uint32(0))
+        rows.append((int(part[a]), b - a, len(own), 0, _planes(step, which.astype(_narrow(len(own))), sizes[own].astype("<u4")), keys[own].astype("<u8").tobytes()))
+    return _block(rows)
+
+
+def _pack_lists(hub: np.ndarray, flag: np.ndarray, many: np.ndarray, left: np.ndarray, key: np.ndarray, size: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Blocks of lists: a hub, a flag, how many sets, how many of them on the left, and the sets."""
+    starts = np.cumsum(many) - many
+    part, _ = _parts_of(mix(hub), parts)
+    order = np.lexsort((hub, part))
+    edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]]))
+    rows = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        own = order[a:b]
+        at = _ragged(starts[own], many[own])
+        heads, which_hub = np.unique(hub[own], return_inverse=True)
+        ids, first, which = np.unique(key[at], return_index=True, return_inverse=True)
+        body = _planes(which_hub.astype("<u4"), flag[own].astype("u1"), many[own].astype("<u4"), left[own].astype("<u4"), np.array([len(heads)], "<u4"), which.astype(_narrow(len(ids))), size[at][first].astype("<u4"))
+        rows.append((int(part[order[a]]), b - a, len(ids), len(at), body, np.concatenate([ids, heads]).astype("<u8").tobytes()))
+    return _block(rows)
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of runs one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _unpack_lists(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    out = []
+    for n, k, m, body, ids in rows:
+        both = np.frombuffer(ids, "<u8")
+        which_hub, flag, many, left, _, which, sizes = _columns(body, (n, "<u4"), (n, "u1"), (n, "<u4"), (n, "<u4"), (1, "<u4"), (m, _narrow(k)), (k, "<u4"))
+        out.append((both[k:][which_hub], flag, many.astype(np.int64), left.astype(np.int64), both[:k][which], sizes[which].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _lists_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(plain, sets, keys, sizes) of each signature of a part that several sets have; the sets of one by key."""
+    sig, key, size = [], [], []
+    for n, k, _, body, ids in rows:
+        step, which, sizes = _columns(body, (n, "<u4"), (n, _narrow(k)), (k, "<u4"))
+        sig.append(np.cumsum(step, dtype=np.uint32))
+        key.append(np.frombuffer(ids, "<u8")[which])
+        size.append(sizes[which])
+    sig, key, size = (np.concatenate(x) for x in (sig, key, size))
+    order = np.argsort(sig)
+    same = sig[order][1:] == sig[order][:-1]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    sig, key, size = sig[order], key[order], size[order]
+    order = np.lexsort((key, sig))
+    sig, key, size = sig[order], key[order], size[order]
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    sig, key, size = sig[fresh], key[fresh], size[fresh]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    many = np.diff(np.append(first, len(sig)))
+    keep = many > 1
+    if not keep.any():
+        return None
+    at = _ragged(first[keep], many[keep])
+    return (sig[first[keep]] & 1).astype(np.uint8), many[keep], key[at], size[at]
+
+
+def _split(plain: np.ndarray, many: np.ndarray, key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hub, plain, sets, left, keys, sizes): long lists as the pairs of their blocks; left is how many sets of a list stand on its left side, 0 where all are paired with all."""
+    starts = np.cumsum(many) - many
+    short = np.flatnonzero(many <= LONG)
+    out = [(key[starts[short]], plain[short], many[short], np.zeros(len(short), np.int64), key[at := _ragged(starts[short], many[short])], size[at])]
+    for i in np.flatnonzero(many > LONG).tolist():
+        own, sizes = key[starts[i] : starts[i] + many[i]], size[starts[i] : starts[i] + many[i]]
+        blocks = 1 << int(np.ceil(np.log2(many[i] / (LONG // 2))))
+        kind = (mix(own) % np.uint64(blocks)).astype(np.int64)
+        groups = [np.flatnonzero(kind == b) for b in range(blocks)]
+        for a in range(blocks):
+            for b in range(a, blocks):
+                both = groups[a] if a == b else np.concatenate([groups[a], groups[b]])
+                if len(both) > 1 and (a == b or len(groups[a]) and len(groups[b])):
+                    with np.errstate(over="ignore"):
+                        hub = mix(own[:1] + np.uint64(blocks) * _A + np.uint64(a) * _B + mix(np.array([b + 1], np.uint64)))
+                    out.append((hub, plain[i : i + 1], np.array([len(both)]), np.array([0 if a == b else len(groups[a])]), own[both], sizes[both]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _pairs_of(sig: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float):
     """Yields (i, j) of the rows of sorted signature lists that may be partners by size."""
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -175,7 +351,7 @@ def _pairs_of(sig: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float)
 
     def fine(i, j):
         lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (key[i] != key[j]) & (lo >= need(hi, threshold)) & (((sig[i] & 1) == 0) | (lo < SMALL))
+        ok = (lo >= need(hi, threshold)) & (((sig[i] & 1) == 0) | (lo < SMALL))
         return i[ok], j[ok]
 
     for m in np.unique(size[size > 1]).tolist():
@@ -195,176 +371,299 @@ def _pairs_of(sig: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float)
                     yield fine(base + a[upper], base + b[upper])
 
 
-def _candidates(docs: DataFrame, counts: np.ndarray, n: int, threshold: float) -> DataFrame:
-    """(a, b): keys, a < b, of sets that share enough signatures.
-
-    The sets of each signature travel as a list to where lists with the same first set meet. Lists of one group of copies mostly begin with
-    one of a few sets, so its pairs are counted there, rather than sent once a signature.
-    """
+def _counted(flag: np.ndarray, many: np.ndarray, left: np.ndarray, key: np.ndarray, size: np.ndarray, threshold: float):
+    """Yields (a, b, times, least) for the lists of one hub, all pairs of sets at once, by matrix products over blocks of sets."""
+    ids, first, which = np.unique(key, return_index=True, return_inverse=True)
+    n = size[first]
+    of = np.repeat(np.arange(len(many)), many)
+    cross = left > 0  # of one hub all or none
+    on_left = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many) < left[of] if cross.any() else None
+    for lo in range(0, len(ids), BLOCK):
+        hi = min(len(ids), lo + BLOCK)
+        for lo2 in range(lo, len(ids), 2 * BLOCK):
+            hi2 = min(len(ids), lo2 + 2 * BLOCK)
+            times = np.zeros((2, hi - lo, hi2 - lo2), np.float32)
+            for plain in (0, 1):
+                lists = np.flatnonzero(flag == plain)
+                for s in range(0, len(lists), 2048):
+                    place = np.full(len(many), -1)
+                    place[lists[s : s + 2048]] = np.arange(len(lists[s : s + 2048]))
+                    row = place[of]
+                    x = np.zeros((min(2048, len(lists) - s), hi - lo), np.float32)
+                    y = np.zeros((len(x), hi2 - lo2), np.float32)
+                    one, two = (row >= 0) & (which >= lo) & (which < hi), (row >= 0) & (which >= lo2) & (which < hi2)
+                    if on_left is None:
+                        x[row[one], which[one] - lo] = 1
+                        y[row[two], which[two] - lo2] = 1
+                        times[plain] += x.T @ y
+                    else:
+                        for mine, other in ((on_left, ~on_left), (~on_left, on_left)):
+                            x[:], y[:] = 0, 0
+                            x[row[one & mine], which[one & mine] - lo] = 1
+                            y[row[two & other], which[two & other] - lo2] = 1
+                            times[plain] += x.T @ y
+            low, high = np.minimum(n[lo:hi, None], n[None, lo2:hi2]), np.maximum(n[lo:hi, None], n[None, lo2:hi2])
+            total = times[0] + np.where(low < SMALL, times[1], 0)
+            i, j = np.nonzero((total > 0) & (low >= need(high, threshold)) & (np.arange(lo, hi)[:, None] < np.arange(lo2, hi2)[None, :]))
+            if len(i):
+                yield ids[lo + i], ids[lo2 + j], total[i, j].astype(np.int64), shares(n[lo + i], n[lo2 + j], threshold)
+
+
+def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold: float) -> DataFrame:
+    """(a, b): keys, a < b, of sets that share enough signatures. total: tokens of all sets."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    frequent = FREQUENT + 2 * float(counts.mean())
+    parts = max(8, -(-total // (2 * PART)))
 
     def sign(batches):
-        hashes = WordHash()
+        hashes, done = WordHash(), set()
+        held: list[tuple] = []
+        have = sets = 0
+
+        def close():
+            nonlocal held, have, sets
+            sig, of, keys, sizes = (np.concatenate(x) for x in zip(*held))
+            held, have, sets = [], 0, 0
+            return _pack_signatures(sig, of, keys, sizes, parts)
+
         for part in slices(batches):
-            tokens, sizes, keys = token_sets(part.column(1).to_pylist(), hashes, n)
-            if len(tokens):
-                sig, of = signatures(tokens, sizes, shared.value, frequent, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[of].view(np.int64)), pa.array(sizes[of].astype(np.int32))], names=["sig", "key", "n"])
+            tokens, sizes, keys, score = token_sets(part.column(1).to_pylist(), hashes, n, shared.value.log)
+            new = np.zeros(len(keys), bool)
+            for i, k in enumerate(keys.tolist()):  # a set that this task has signed already needn't be again
+                if sizes[i] and k not in done:
+                    done.add(k)
+                    new[i] = True
+            if len(done) > 1_000_000:
+                done.clear()
+            if new.any():
+                own = np.repeat(new, sizes)
+                tokens, score, sizes, keys = tokens[own], score[own], sizes[new], keys[new]
+                sig, of = signatures(tokens, sizes, shared.value.seen(tokens, score), FREQUENT, threshold)
+                held.append((sig, of + sets, keys, sizes))
+                have += len(sig)
+                sets += len(keys)
+                if have > LOT:
+                    yield close()
+        if held:
+            yield close()
 
     def lists(batches):
-        """(hub, plain, keys, sizes) of each signature that several sets have."""
-        rest: list[np.ndarray] = []
-        waiting, rows = [], 0
-
-        def take(last):
-            nonlocal rest, waiting, rows
-            sig, key, size = (np.concatenate(x) for x in zip(*([tuple(rest)] if rest else []), *waiting))
-            waiting, rows = [], 0
-            end = len(sig) if last else int(np.searchsorted(sig, sig[-1]))
-            rest = [sig[end:], key[end:], size[end:]]
-            sig, key, size = sig[:end], key[:end], size[:end]
-            fresh = np.ones(end, bool)
-            fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            sig, key, size = sig[fresh], key[fresh], size[fresh]
-            if not len(sig):
-                return None
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            many = np.bincount(np.cumsum(first) - 1)
-            keep = np.repeat(many > 1, many)
-            heads = first & keep
-            if not heads.any():
-                return None
-            ends = np.concatenate([[0], np.cumsum(many[many > 1])]).astype(np.int32)
-            columns = [pa.array(key[heads]), pa.array((sig[heads] & 1) == 1), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[keep])), pa.ListArray.from_arrays(pa.array(ends), pa.array(size[keep]))]
-            return pa.RecordBatch.from_arrays(columns, names=["hub", "plain", "keys", "sizes"])
-
-        for part in batches:
-            if part.num_rows:
-                waiting.append(tuple(part.column(i).to_numpy() for i in range(3)))
-                rows += part.num_rows
-                if rows > 300_000 and (out := take(False)):
-                    yield out
-        if (waiting or rest) and (out := take(True)):
-            yield out
+        held: list[tuple] = []
+        have = 0
+        for rows in _by_part(batches):
+            found = _lists_of(rows)
+            if found:
+                held.append(_split(*found))
+                have += len(held[-1][4])
+                if have > LOT // 2:
+                    yield _pack_lists(*map(np.concatenate, zip(*held)), parts)
+                    held, have = [], 0
+        if held:
+            yield _pack_lists(*map(np.concatenate, zip(*held)), parts)
 
     def pair(batches):
-        held: list = []
+        held: list[tuple] = []
         have = 0
 
         def close():
             nonlocal held, have
-            a, b, least = (np.concatenate(x) for x in zip(*held))
+            a, b, times, least = _summed(*map(np.concatenate, zip(*held)))
             held, have = [], 0
-            order = np.lexsort((b, a))
-            a, b, least = a[order], b[order], least[order]
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            times = np.diff(np.append(first, len(a))).astype(np.int32)
-            for k in range(0, len(first), 100_000):
-                f = first[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(a[f]), pa.array(b[f]), pa.array(least[f].astype(np.int32)), pa.array(times[k : k + 100_000])], names=["a", "b", "least", "times"])
-
-        for part in slices(batches, 4096):
-            many = part.column(2).value_lengths().to_numpy()
-            sig = np.repeat(2 * np.arange(len(many)) + part.column(1).to_numpy(zero_copy_only=False), many)
-            key, size = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy().astype(np.int64)
-            for i, j in _pairs_of(sig, key, size, threshold):
-                if len(i):
-                    held.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), shares(size[i], size[j], threshold)))
-                    have += len(i)
-                    if have > 3_000_000:
-                        yield from close()
+            part, _ = _parts_of(mix(a), parts)
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]]))
+            rows = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = order[lo:hi]
+                ids, runs = np.unique(a[own], return_counts=True)  # a grows within a part
+                rows.append((int(part[own[0]]), hi - lo, len(ids), 0, _planes(runs.astype("<u4"), np.minimum(times[own], 65535).astype("<u2"), np.minimum(least[own], 65535).astype("<u2")), np.concatenate([ids, b[own]]).astype("<u8").tobytes()))
+            return _block(rows)
+
+        for rows in _by_part(batches):
+            hub, flag, many, left, key, size = _unpack_lists(rows)
+            starts = np.cumsum(many) - many
+            order = np.argsort(hub, kind="stable")
+            hub, flag, many, left = hub[order], flag[order], many[order], left[order]
+            at = _ragged(starts[order], many)
+            key, size = key[at], size[at]
+            starts = np.cumsum(many) - many
+            heads = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]]))
+            tails = np.append(heads[1:], len(hub))
+            work = np.add.reduceat(many * many, heads)
+            dense = (work > 20_000) | (np.maximum.reduceat(left, heads) > 0)
+            scattered = np.repeat(~dense, tails - heads)
+            rest = np.flatnonzero(scattered)
+            for h in np.flatnonzero(dense).tolist():
+                s, e = int(heads[h]), int(tails[h])
+                lo, hi = int(starts[s]), int(starts[e - 1] + many[e - 1])
+                if left[s] == 0 and (e - s) * float(len(np.unique(key[lo:hi]))) ** 2 > 500 * float(work[h]):
+                    rest = np.concatenate([rest, np.arange(s, e)])
+                    continue
+                for found in _counted(flag[s:e], many[s:e], left[s:e], key[lo:hi], size[lo:hi], threshold):
+                    held.append(found)
+                    have += len(found[0])
+                if have > LOT:
+                    yield close()
+            if len(rest):
+                at = _ragged(starts[rest], many[rest])
+                sig = np.repeat(2 * np.arange(len(rest)) + flag[rest], many[rest])
+                k, z = key[at], size[at]
+                for i, j in _pairs_of(sig, k, z, threshold):
+                    if len(i):
+                        held.append((np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), np.ones(len(i), np.int64), shares(z[i], z[j], threshold)))
+                        have += len(i)
+                        if have > LOT:
+                            yield close()
         if held:
-            yield from close()
-
-    signs = docs.select("_doc", "text").mapInArrow(sign, "sig bigint, key bigint, n int")
-    found = signs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lists, "hub bigint, plain boolean, keys array<bigint>, sizes array<int>")
-    raw = found.repartition("hub").sortWithinPartitions("hub").mapInArrow(pair, "a bigint, b bigint, least int, times int")
-    return raw.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("least").alias("least")).where("times >= least").select("a", "b")
+            yield close()
+
+    def count(batches):
+        for rows in _by_part(batches):
+            held = []
+            for n_, k, _, body, ids in rows:
+                runs, times, least = _columns(body, (k, "<u4"), (n_, "<u2"), (n_, "<u2"))
+                both = np.frombuffer(ids, "<u8")
+                held.append((np.repeat(both[:k], runs), both[k:], times.astype(np.int64), least.astype(np.int64)))
+            a, b, times, least = _summed(*map(np.concatenate, zip(*held)))
+            keep = times >= least
+            a, b = a[keep].view(np.int64), b[keep].view(np.int64)
+            for k in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], names=["a", "b"])
+
+    blocks = docs.select("_doc", "text").mapInArrow(sign, _BLOCKS)
+    for step, schema in ((lists, _BLOCKS), (pair, _BLOCKS), (count, "a bigint, b bigint")):
+        blocks = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(step, schema)
+    return blocks
+
+
+def _summed(a: np.ndarray, b: np.ndarray, times: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.add.reduceat(times[order], first), np.maximum.reduceat(least[order], first)
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text").where("_doc is not null and text is not null")
+    return docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text").where("_doc is not null")
 
 
-def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(key, doc, n) of all sets, and (a, b, jaccard) of the pairs of different sets, a < b."""
+def _verified(docs: DataFrame, n: int, threshold: float, pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, n) of all documents, and (a, b, x) of sets: with pairs each with its similarity, else edges that connect them (b is a key) and of each set how many documents its partners have (b is null)."""
     base = _base(docs)
     survey = written(_survey(base, n), "survey")
-    sets = survey.where("chunk is null").select("key", "doc", "n")
-    edges = written(_candidates(base, _sketch(survey), n, threshold), "candidates")
+    counts = _counts(survey, n)
+    sets = written(survey.where("chunk is null").select("doc", "key", "n"), "sets")
+    drop(survey)
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    edges = written(_candidates(base, counts, total, n, threshold), "candidates")
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    hub = both.groupBy("a").agg(F.min("b").alias("hub"), F.count("*").alias("many"))
+    hub = both.groupBy("a").agg(F.min("b").alias("hub"))
     placed = edges.join(hub, "a").withColumn("hub", F.least("hub", "a"))
-    parts = placed.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(CELL_PAIRS)).alias("parts"))
-    placed = written(placed.join(parts, "hub").select("a", "b", F.xxhash64("hub", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("cell")), "cells")
-    members = placed.select(F.col("a").alias("key"), "cell").union(placed.select(F.col("b").alias("key"), "cell"))
-    members = members.groupBy("key").agg(F.collect_set("cell").alias("cells"))
-    source = written(members.join(sets, "key").groupBy("key").agg(F.min("doc").alias("_doc"), F.first("cells").alias("cells")), "sources")
-    rows = source.count()
+    members = placed.select("hub", F.explode(F.array("a", "b")).alias("key")).groupBy("hub").agg(F.ceil(F.countDistinct("key") / F.lit(BLOCK)).alias("blocks"))
+    side = lambda x: F.pmod(F.xxhash64(x, F.lit(1)), F.col("blocks"))
+    placed = placed.join(members, "hub").select("a", "b", F.xxhash64("hub", F.least(side("a"), side("b")), F.greatest(side("a"), side("b"))).alias("cell"))
+    placed = written(placed, "cells")
+    drop(edges)
+    members = placed.select("cell", F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.collect_set("cell").alias("cells"))
+    known = sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("_doc"), F.countDistinct("doc").alias("copies"))
+    source = written(members.join(known, "key"), "sources")
+    rows, cells = source.agg(F.count("*"), F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()
 
     def cut(batches):
         hashes = WordHash()
         for part in slices(batches):
-            tokens, sizes, keys = token_sets(part.column(0).to_pylist(), hashes, n)
+            tokens, sizes, keys, _ = token_sets(part.column(0).to_pylist(), hashes, n)
             ends = np.cumsum(sizes)
-            cell, key, packed = [], [], []
-            for i, (wanted, cells) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+            cell, key, copies, packed = [], [], [], []
+            for i, (wanted, cells_, many) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))):
                 own = int(keys[i].astype(np.int64))
                 if own == wanted:  # a doc_id may stand for several texts
-                    six = np.ascontiguousarray(tokens[ends[i] - sizes[i] : ends[i]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                    for c in cells:
-                        cell.append(c), key.append(own), packed.append(six)
+                    raw = tokens[ends[i] - sizes[i] : ends[i]].astype("<u8").tobytes()
+                    for c in cells_:
+                        cell.append(c), key.append(own), copies.append(many), packed.append(raw)
             if cell:
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(key, pa.int64()), pa.nulls(len(cell), pa.int64()), pa.array(packed, pa.binary())], names=["cell", "a", "b", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(key, pa.int64()), pa.nulls(len(cell), pa.int64()), pa.array(copies, pa.int64()), pa.array(packed, pa.binary())], names=["cell", "a", "b", "copies", "tokens"])
 
     def verify(batches):
-        now, held = None, {}
-        for part in slices(batches, 4096):
+        now, held, root, links = None, {}, {}, {}
+
+        def find_root(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def emit(rows):
+            a, b, x = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, pa.float64())], names=["a", "b", "x"])
+
+        for part in slices(batches, 1024):
             out = []
-            for cell, a, b, tokens in zip(*(part.column(i).to_pylist() for i in range(4))):
+            for cell, a, b, copies, tokens in zip(*(part.column(i).to_pylist() for i in range(5))):
                 if cell != now:
-                    now, held = cell, {}
+                    out += [(k, None, float(v)) for k, v in links.items()]
+                    now, held, root, links = cell, {}, {}, {}
                 if b is None:
                     if a not in held:
-                        wide = np.zeros((len(tokens) // 6, 8), np.uint8)
-                        wide[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
-                        held[a] = wide.view(">u8").ravel().astype(np.uint64)
+                        held[a] = np.frombuffer(tokens, "<u8"), copies
+                        root[a] = a
                     continue
-                x, y = held[a], held[b]
+                (x, nx), (y, ny) = held[a], held[b]
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                if common / (total := len(x) + len(y) - common) >= threshold - 1e-12:
-                    out.append((a, b, common / total))
+                if common / (whole := len(x) + len(y) - common) >= threshold - 1e-12:
+                    if pairs:
+                        out.append((a, b, common / whole))
+                        continue
+                    links[a], links[b] = links.get(a, 0) + ny, links.get(b, 0) + nx
+                    if (p := find_root(a)) != (q := find_root(b)):
+                        root[max(p, q)] = min(p, q)
+                        out.append((a, b, None))
             if out:
-                a, b, j = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
+                yield emit(out)
+        if links:
+            yield emit([(k, None, float(v)) for k, v in links.items()])
+
+    texts = joined(base, source, 96 * rows + 8 * cells, "_doc", "inner").select("text", "key", "cells", "copies").mapInArrow(cut, "cell bigint, a bigint, b bigint, copies bigint, tokens binary")
+    wanted = placed.select("cell", "a", "b", F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("binary").alias("tokens"))
+    found = written(texts.union(wanted).repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first()).mapInArrow(verify, "a bigint, b bigint, x double"), "links")
+    drop(placed, source)
+    return sets, found
+
+
+def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard): each pair of different sets, by their least doc_ids, doc_a < doc_b."""
+    sets, found = _verified(docs, n, threshold, True)
+    least = sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"))
+    named = found.join(least.toDF("a", "x_doc"), "a").join(least.toDF("b", "y_doc"), "b")
+    return named.select(F.least("x_doc", "y_doc").alias("doc_a"), F.greatest("x_doc", "y_doc").alias("doc_b"), F.round("x", 9).alias("jaccard"))
+
 
-    texts = joined(base, source, rows, "_doc", "inner").select("text", "key", "cells").mapInArrow(cut, "cell bigint, a bigint, b bigint, tokens binary")
-    wanted = placed.select("cell", "a", "b", F.lit(None).cast("binary").alias("tokens"))
-    found = texts.union(wanted).repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first()).mapInArrow(verify, "a bigint, b bigint, jaccard double")
-    return sets, written(found, "pairs")
+def _classes(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, root): the sets that partners connect, by their least key; sets without partners have no row."""
+    return components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
 
 
 def find(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_ids, n_first, jaccard): a row for each pair of different sets, and one with jaccard 1 for each set that several documents have.
+    """(doc_id, class_id, n_copies, n_links): a row for each document and set.
 
-    doc_ids has the documents of the set with the smallest doc_id, n_first of them, in order, then those of the other; any two documents of a row
-    that stand on different sides have that similarity. Copies are listed rather than paired, so the result grows with them and not with their square.
+    class_id is the least doc_id of the documents that pairs connect with it, n_copies how many documents have its set, itself included, and n_links
+    how many other documents are at or above the threshold, copies included. The result grows with the documents, not with the pairs.
     """
-    sets, pairs = set_pairs(docs, n, threshold)
-    lists = sets.groupBy("key").agg(F.array_sort(F.collect_set("doc")).alias("docs"))
-    paired = pairs.join(lists.select(F.col("key").alias("a"), F.col("docs").alias("x")), "a").join(lists.select(F.col("key").alias("b"), F.col("docs").alias("y")), "b")
-    ahead = F.col("x")[0] <= F.col("y")[0]
-    first, second = F.when(ahead, F.col("x")).otherwise(F.col("y")), F.when(ahead, F.col("y")).otherwise(F.col("x"))
-    near = paired.select(F.concat(first, second).alias("doc_ids"), F.size(first).alias("n_first"), F.round("jaccard", 9).alias("jaccard"))
-    copies = lists.where(F.size("docs") > 1).select(F.col("docs").alias("doc_ids"), F.size("docs").alias("n_first"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(copies)
+    sets, found = _verified(docs, n, threshold, False)
+    own = sets.where("key is not null").select("doc", "key").distinct()
+    known = own.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("n_copies"))
+    links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("x").cast("bigint").alias("links"))
+    known = known.join(links, "key", "left").join(_classes(sets, found), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = known.groupBy("root").agg(F.min("least").alias("class_id"))
+    known = written(known.join(least, "root").select("key", "class_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    alone = sets.where("key is null").select("doc").distinct()
+    out = own.join(known, "key").select(F.col("doc").alias("doc_id"), "class_id", "n_copies", "n_links")
+    return out.unionByName(alone.select(F.col("doc").alias("doc_id"), F.col("doc").alias("class_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of edges (a, b) is connected with. Alternates large and small stars; every round is a written table."""
+    """(node, root): the least node that each node of edges (a, b) is connected with. Alternates large and small stars; every round is a written table, and the one before it goes."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         e = e.union(e.select("b", "a")).toDF("u", "v") if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -377,7 +676,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     state = None
     while True:
-        now = written(star(star(now, True), False), "edges")
+        before, now = now, written(star(star(now, True), False), "edges")
+        drop(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break
@@ -388,11 +688,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document, that of the smallest doc_id, of each group of documents that pairs connect. Rows without a set stay, and so do all rows of a doc_id that stays."""
-    sets, pairs = set_pairs(docs, n, threshold)
-    root = components(pairs).withColumnRenamed("node", "key")
-    of = sets.select("key", "doc").distinct().join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sets, found = _verified(docs, n, threshold, False)
+    own = sets.where("key is not null").select("doc", "key").distinct()
+    of = own.join(_classes(sets, found), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = of.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("many")).where("many > 1")
-    gone = written(of.join(least, "root").where("doc <> least").select(F.col("doc").alias("_doc")).distinct(), "gone")
+    helper = fresh_name(docs, "doc")
+    gone = written(of.join(least, "root").where("doc <> least").select(F.col("doc").alias(helper)).distinct(), "gone")
+    drop(found, sets)
     names = docs.columns
-    marked = docs.withColumn("_doc", F.col("doc_id").cast("bigint"))
-    return joined(marked, gone, gone.count(), "_doc", "left_anti").select(*[f"`{x}`" for x in names])
+    marked = docs.withColumn(helper, F.col("doc_id").cast("bigint"))
+    return joined(marked, gone, 64 * gone.count(), helper, "left_anti").select(*[f"`{x}`" for x in names])

@@ -61,14 +61,19 @@ def op5_substring(spark, sf_dir):
 @query
 @oracle(
     """
-    with words as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from documents where text is not null and doc_id is not null),
+    with recursive words as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') as w from documents where doc_id is not null),
     grams as (select doc_id, list_sort(list_distinct(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as g from words where len(w) > 0),
-    sets as (select row_number() over (order by min(doc_id)) as id, g, list_sort(list_distinct(list(doc_id))) as docs from grams group by g),
+    sets as (select row_number() over (order by min(doc_id)) as id, g, list_distinct(list(doc_id)) as docs from grams group by g),
     tokens as (select id, len(g) as n, unnest(g) as g from sets),
-    pairs as (select a.id as a, b.id as b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as j from tokens a join tokens b on a.g = b.g and a.id < b.id group by 1, 2)
-    select list_concat(a.docs, b.docs) as doc_ids, len(a.docs)::int as n_first, round(j, 9) as jaccard
-    from pairs join sets a on a.id = pairs.a join sets b on b.id = pairs.b where j >= 0.55 - 1e-12
-    union all select docs, len(docs)::int, 1.0 from sets where len(docs) > 1
+    pairs as (select a.id as a, b.id as b from tokens a join tokens b on a.g = b.g and a.id < b.id group by a.id, b.id
+        having count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.55 - 1e-12),
+    both_ways as (select a, b from pairs union all select b, a from pairs),
+    reach as (select id as a, id as b from sets union select r.a, p.b from reach r join both_ways p on p.a = r.b),
+    class as (select a as id, min(list_min(docs)) as class_id from reach join sets on sets.id = reach.b group by a),
+    links as (select a as id, sum(len(docs)) as n from both_ways join sets on sets.id = both_ways.b group by a)
+    select unnest(docs) as doc_id, class_id, len(docs)::bigint as n_copies, (len(docs) - 1 + coalesce(n, 0))::bigint as n_links
+    from sets join class using (id) left join links using (id)
+    union all select distinct doc_id, doc_id, 1, 0 from words where len(w) = 0
     """
 )
 def op3_jaccard(spark, sf_dir):

@@ -15,17 +15,32 @@ def grams(text, n=2):
 
 
 def brute(rows, t=jaccard.THRESHOLD):
+    """The rows of find() and of pairs()."""
     sets = {}
     for i, text in rows:
-        if i is not None and text is not None and grams(text):
+        if i is not None:
             sets.setdefault(grams(text), set()).add(i)
-    out = {(tuple(sorted(d)), len(d), 1.0) for d in sets.values() if len(d) > 1}
-    for (x, a), (y, b) in itertools.combinations(sets.items(), 2):
+    alone = sets.pop(frozenset(), set())
+    keys = list(sets)
+    root, links, pairs = {k: k for k in keys}, {k: len(sets[k]) - 1 for k in keys}, set()
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in itertools.combinations(keys, 2):
         j = len(x & y) / len(x | y)
         if j >= t - 1e-12:
-            a, b = sorted((sorted(a), sorted(b)))
-            out.add((tuple(a + b), len(a), round(j, 9)))
-    return out
+            a, b = sorted((min(sets[x]), min(sets[y])))
+            pairs.add((a, b, round(j, 9)))
+            links[x] += len(sets[y])
+            links[y] += len(sets[x])
+            root[top(x)] = top(y)
+    least = {}
+    for k in keys:
+        least[top(k)] = min(least.get(top(k), 1 << 60), min(sets[k]))
+    return sorted([(i, least[top(k)], len(sets[k]), links[k]) for k in keys for i in sets[k]] + [(i, i, 1, 0) for i in alone]), pairs
 
 
 def corpus(seed, n=160):
@@ -47,26 +62,58 @@ def corpus(seed, n=160):
     return [*rows, (1000, None), (1001, ""), (None, rows[5][1]), (5, rows[5][1]), (1002, " ".join(vocabulary * 30)), (1003, " ".join(vocabulary * 30 + ["end"]))]
 
 
+def found(docs):
+    return sorted(map(tuple, jaccard.find(docs).collect())), set(map(tuple, jaccard.pairs(docs).collect()))
+
+
 @pytest.mark.parametrize("frequent", [512, -1])
 def test_find_is_exact(docs_of, monkeypatch, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     rows = corpus(frequent)
-    found = {(tuple(r["doc_ids"]), r["n_first"], r["jaccard"]) for r in jaccard.find(docs_of(rows)).collect()}
-    assert found == brute(rows)
+    assert found(docs_of(rows)) == brute(rows)
+
 
+def test_small_blocks(docs_of, monkeypatch):
+    """Lists that are split, cells of few sets and many small parts."""
+    for name, value in (("LONG", 6), ("BLOCK", 4), ("PART", 500), ("LOT", 300)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(3, 90)
+    assert found(docs_of(rows)) == brute(rows)
 
-def test_small_cells(docs_of, monkeypatch):
-    monkeypatch.setattr(jaccard, "CELL_PAIRS", 5)
-    rows = corpus(3, 60)
-    assert {(tuple(r["doc_ids"]), r["n_first"], r["jaccard"]) for r in jaccard.find(docs_of(rows)).collect()} == brute(rows)
+
+def test_group_of_near_copies(docs_of):
+    """Many texts that differ in a few words, and many equal ones."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(words)
+        for _ in range(rng.randrange(1, 22)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(words)) for i in range(100)]
+    assert found(docs_of(rows)) == brute(rows)
+
+
+def test_matrix_counts_like_pairs():
+    """Counting the lists of a hub by matrices and pair by pair gives the same."""
+    rng = np.random.default_rng(6)
+    ids = np.unique(rng.integers(0, 1 << 60, 1300).astype(np.uint64))
+    size = rng.integers(5, 60, len(ids))
+    lists = [np.sort(rng.choice(len(ids), rng.integers(2, 90), False)) for _ in range(60)]
+    flag, many = rng.integers(0, 2, 60).astype(np.uint8), np.array([len(x) for x in lists])
+    at = np.concatenate(lists)
+    quick = [np.concatenate(x) for x in zip(*jaccard._counted(flag, many, np.zeros(60, np.int64), ids[at], size[at], 0.55))]
+    slow = [(np.minimum(ids[at][i], ids[at][j]), np.maximum(ids[at][i], ids[at][j]), np.ones(len(i), np.int64), jaccard.shares(size[at][i], size[at][j], 0.55)) for i, j in jaccard._pairs_of(np.repeat(2 * np.arange(60) + flag, many), ids[at], size[at], 0.55)]
+    slow = jaccard._summed(*map(np.concatenate, zip(*slow)))
+    assert len(slow[0]) and all((x == y).all() for x, y in zip(jaccard._summed(*quick), slow))
 
 
 @pytest.mark.parametrize("frequent", [0, 3, 1 << 40])
 def test_partners_share_signatures(frequent):
     rng = np.random.default_rng(4)
-    counts = np.zeros(1 << jaccard.SKETCH_BITS, np.uint32)
     pool = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
-    counts[jaccard.bucket(pool)] = rng.integers(0, 9, len(pool))
+    counts = rng.integers(0, 9, len(pool))
     for _ in range(150):
         x = rng.choice(pool, rng.integers(1, 300), False)
         y = np.unique(np.concatenate([rng.choice(x, max(1, int(len(x) * rng.uniform(0.6, 1))), False), rng.choice(pool, rng.integers(0, 1 + len(x) // 3), False)]))
@@ -74,7 +121,7 @@ def test_partners_share_signatures(frequent):
         common = len(np.intersect1d(x, y))
         if common / (len(x) + len(y) - common) < jaccard.THRESHOLD:
             continue
-        sig, of = jaccard.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), counts, frequent, jaccard.THRESHOLD)
+        sig, of = jaccard.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), counts[np.searchsorted(pool, np.concatenate([x, y]))], frequent, jaccard.THRESHOLD)
         both = np.intersect1d(sig[of == 0], sig[of == 1])
         small = min(len(x), len(y)) < jaccard.SMALL
         least = jaccard.shares(np.array([len(x)]), np.array([len(y)]), jaccard.THRESHOLD)[0]
@@ -101,10 +148,10 @@ def test_components(spark):
 def test_keep_one(spark, docs_of):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(7, text), (3, text + " more"), (9, text.upper()), (1, "alone here"), (2, None), (2, ""), (None, text), (7, text)]
-    docs = docs_of(rows).withColumnRenamed("source", "_doc2")
+    docs = docs_of(rows).withColumnsRenamed({"source": "_doc", "lang": "KEY"})
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect() if r["text"] is not None) == sorted([(3, text + " more"), (1, "alone here"), (2, ""), (0, text)])
-    assert kept.where("text is null").count() == 1
+    assert kept.where("text is null").count() == 1 and {r["_doc"] for r in kept.collect()} == {"src0"}
     empty = docs.limit(0)
     assert jaccard.keep_one(empty).count() == 0 and jaccard.find(empty).count() == 0
