@@ -2,11 +2,13 @@
 
 One frequency table, counted over all tokens and scaled to 2**SCALE, is shared by every block. A block is independent: its
 tokens go round-robin to LANES interleaved states, whose 32-bit words share one stream. Every STRIDE rounds the states and the
-place in the stream are noted as a checkpoint, so that the parts of a block decode in parallel too, and a CRC-32 of the tokens
-checks each block after decoding.
+place in the stream are noted as a checkpoint, and each part from one checkpoint to the next has a CRC-32 of its tokens: parts
+decode in tasks of their own. The table is stored beside the blocks, as a row without a block_id; each block names it by table_id, so that the
+stored rows decode alone.
 
 Edge cases: null and empty texts have no tokens; null keeps a length of -1 in the block, so it comes back as null. Repeated
-rows are stored once each; a long document continues over as many blocks as it needs. An empty table gives no block. Columns
+rows are stored once each; a long document continues over as many blocks as it needs. An empty table gives only an empty
+frequency table; ties in scaling go to the smaller token; very long texts are split among blocks. Columns
 other than the two named are left out, whatever their names.
 """
 
@@ -31,7 +33,8 @@ LANES, STRIDE = 256, 256
 BLOCK = LANES * STRIDE * 4
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-BLOCKS = "block_id bigint, doc_ids array<bigint>, lengths array<int>, n_tokens int, payload binary, checkpoints binary, crc32 bigint"
+BLOCKS = "block_id bigint, table_id bigint, doc_ids array<bigint>, lengths array<int>, n_tokens int, payload binary, checkpoints binary, crc32 array<bigint>"
+PARTS = "block_id bigint, part int, ord int, doc_ids array<bigint>, lengths array<int>, n_tokens int, payload binary, checkpoint binary, crc32 bigint, table_id bigint"
 
 _TOKENIZERS: dict = {}
 
@@ -165,6 +168,7 @@ def frequency_table(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def encode(tokens: DataFrame, freq: np.ndarray, start: np.ndarray, block: int = BLOCK) -> DataFrame:
     """Blocks of the rows of each partition, in their order. lengths: the tokens of each document that lie in the block, -1 for a null text; the next block of the partition goes on where this one ends."""
     shared = tokens.sparkSession.sparkContext.broadcast((freq, start))
+    table = table_id(freq)
 
     def run(batches):
         from pyspark import TaskContext
@@ -179,11 +183,12 @@ def encode(tokens: DataFrame, freq: np.ndarray, start: np.ndarray, block: int =
         def close():
             nonlocal seq, ids, sizes, held, have
             flat = np.concatenate(held) if held else np.zeros(0, np.int64)
-            payload, points = encode_block(flat, f, s)
-            crc = zlib.crc32(flat.astype("<u4").tobytes())
+            payload, points = encode_block(flat, f, s, LANES, STRIDE)
+            size = LANES * STRIDE
+            crc = [zlib.crc32(flat[k : k + size].astype("<u4").tobytes()) for k in range(0, len(flat), size)]
             row = pa.RecordBatch.from_arrays(
-                [pa.array([seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(flat)], pa.int32()), pa.array([payload], pa.binary()), pa.array([points], pa.binary()), pa.array([crc], pa.int64())],
-                names=["block_id", "doc_ids", "lengths", "n_tokens", "payload", "checkpoints", "crc32"],
+                [pa.array([seq], pa.int64()), pa.array([table], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(flat)], pa.int32()), pa.array([payload], pa.binary()), pa.array([points], pa.binary()), pa.array([crc], pa.list_(pa.int64()))],
+                names=["block_id", "table_id", "doc_ids", "lengths", "n_tokens", "payload", "checkpoints", "crc32"],
             )
             seq, ids, sizes, held, have = seq + 1, [], [], [], 0
             return row
@@ -210,28 +215,91 @@ def encode(tokens: DataFrame, freq: np.ndarray, start: np.ndarray, block: int =
     return tokens.select("doc_id", "n", "ids").mapInArrow(run, BLOCKS)
 
 
-def decode(blocks: DataFrame, freq: np.ndarray, start: np.ndarray) -> DataFrame:
-    """(block_id, ord, doc_id, n, token_ids): the pieces of documents, one row for each entry of a block. Raises where a checksum differs."""
-    shared = blocks.sparkSession.sparkContext.broadcast((freq, start))
+def table_id(freq: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(freq.astype("<u4").tobytes()) >> 1
+
+
+def table_row(spark, freq: np.ndarray) -> DataFrame:
+    """The frequency table as a row of the archive: frequencies by token id, squeezed, with their checksum."""
+    raw = freq.astype("<u4").tobytes()
+    return spark.createDataFrame([(None, table_id(freq), [], [], len(freq), bytearray(zlib.compress(raw, 6)), bytearray(), [zlib.crc32(raw)])], BLOCKS)
+
+
+def tables(archive: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The frequency tables of an archive by table_id, each no larger than its vocabulary; one for each store() that wrote to it."""
+    out = {}
+    for r in archive.where("block_id is null").select("table_id", "payload", "crc32").distinct().collect():
+        raw = zlib.decompress(r["payload"])
+        if zlib.crc32(raw) != r["crc32"][0]:
+            raise ValueError(f"table {r['table_id']} doesn't match its checksum")
+        freq = np.frombuffer(raw, "<u4").astype(np.int64)
+        out[r["table_id"]] = freq, np.concatenate([[0], np.cumsum(freq)])
+    return out
+
+
+def split(archive: DataFrame) -> DataFrame:
+    """A row for each part of each block, with what it needs: its words of the stream, its checkpoint, and the entries of the documents in it."""
 
     def run(batches):
-        f, s = shared.value
-        symbol = symbols(f)
-        for part in slices(batches, 8):
-            for b in part.to_pylist():
-                k = len(b["checkpoints"]) // (8 * (LANES + 2))
-                flat = np.concatenate([decode_part(b["payload"], b["checkpoints"], b["n_tokens"], i, symbol, f, s) for i in range(k)] or [np.zeros(0, np.int64)])
+        for batch in slices(batches, 8):
+            for b in batch.to_pylist():
+                points = np.frombuffer(b["checkpoints"], "<u8").reshape(-1, LANES + 2)
+                stream = np.frombuffer(b["payload"], "<u4")
+                n = np.array(b["lengths"], np.int64)
+                ends = np.cumsum(np.maximum(n, 0))
+                starts = ends - np.maximum(n, 0)
+                size, total, parts = LANES * STRIDE, b["n_tokens"], max(1, len(points))
+                rows = []
+                for k in range(parts):
+                    lo, hi, last = k * size, min(total, (k + 1) * size), k == parts - 1
+                    inside = (np.maximum(starts, lo) < np.minimum(ends, hi)) | (n <= 0) & (starts >= lo) & ((starts < hi) | last)
+                    own = np.flatnonzero(inside)
+                    a, e = (int(own[0]), int(own[-1]) + 1) if len(own) else (0, 0)
+                    words, point = b"", b""
+                    if len(points):
+                        head = points[k].copy()
+                        words = stream[int(head[1]) : int(points[k + 1][1]) if not last else len(stream)].tobytes()
+                        head[1] = 0
+                        point = head.tobytes()
+                    whole = [int(min(x, hi) - max(y, lo)) if z >= 0 else -1 for x, y, z in zip(ends[a:e], starts[a:e], n[a:e])]
+                    rows.append((b["block_id"], k, a, b["doc_ids"][a:e], whole, total, words, point, b["crc32"][k] if len(points) else 0, b["table_id"]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _PART_TYPES)], names=_PART_NAMES)
+
+    return archive.where("block_id is not null").select("block_id", "table_id", "doc_ids", "lengths", "n_tokens", "payload", "checkpoints", "crc32").mapInArrow(run, PARTS)
+
+
+_PART_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+_PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
+
+
+def decode(archive: DataFrame) -> DataFrame:
+    """(block_id, ord, part, doc_id, n, token_ids): the pieces of documents, in the order of the first three, from the stored rows alone. Parts are spread over all tasks. Raises where a checksum differs."""
+    shared = archive.sparkSession.sparkContext.broadcast(tables(archive))
+
+    def run(batches):
+        ready = {}
+        for batch in slices(batches, 16):
+            for b in batch.to_pylist():
+                t = b["table_id"]
+                if t not in ready:
+                    ready[t] = (symbols(shared.value[t][0]), *shared.value[t])
+                flat = decode_part(b["payload"], b["checkpoint"], b["n_tokens"], 0, *ready[t], LANES, STRIDE) if b["checkpoint"] else np.zeros(0, np.int64)
                 if zlib.crc32(flat.astype("<u4").tobytes()) != b["crc32"]:
-                    raise ValueError(f"block {b['block_id']} doesn't match its checksum")
+                    raise ValueError(f"part {b['part']} of block {b['block_id']} doesn't match its checksum")
                 n = np.array(b["lengths"], np.int64)
+                many = len(n)
                 ends = np.concatenate([[0], np.cumsum(np.maximum(n, 0))]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)), mask=pa.array(n < 0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), b["block_id"])), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(b["doc_ids"], pa.int64()), pa.array(n.astype(np.int32)), ids], names=["block_id", "ord", "doc_id", "n", "token_ids"])
+                columns = [pa.array(np.full(many, b["block_id"])), pa.array(b["ord"] + np.arange(many, dtype=np.int32)), pa.array(np.full(many, b["part"], np.int32)), pa.array(b["doc_ids"], pa.int64()), pa.array(n.astype(np.int32)), ids]
+                yield pa.RecordBatch.from_arrays(columns, names=["block_id", "ord", "part", "doc_id", "n", "token_ids"])
 
-    return blocks.select("block_id", "doc_ids", "lengths", "n_tokens", "payload", "checkpoints", "crc32").mapInArrow(run, "block_id bigint, ord int, doc_id bigint, n int, token_ids array<int>")
+    return split(archive).repartition("block_id", "part").mapInArrow(run, "block_id bigint, ord int, part int, doc_id bigint, n int, token_ids array<int>")
 
 
 def store(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Blocks of all rows of docs. The packed ids are written once to the shared folder: they are counted, then encoded."""
+    """An archive of all rows of docs: blocks and their frequency table. The packed ids are written once to the shared folder: they are counted, then encoded."""
     tokens = written(tokenize(docs, vocabulary), "ids", "none")
-    return encode(tokens, *frequency_table(tokens))
+    freq, start = frequency_table(tokens)
+    return encode(tokens, freq, start).unionByName(table_row(docs.sparkSession, freq))

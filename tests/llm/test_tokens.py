@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.llm import bpe, rans
 from docweave.llm.common import table
@@ -71,31 +72,44 @@ def test_block_round_trip(n):
         assert len(payload) * 8 < 1.02 * n * -(p * np.log2(p)).sum() + 64 * rans.LANES
 
 
-def test_store_and_decode(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(rans.encode, "__defaults__", (1000,))
-    rows = [*enumerate(ODD), (90, None), (91, ODD[5]), (91, ODD[5]), (92, "long text " * 5000)]
-    docs = docs_of(rows)
-    tokens = rans.tokenize(docs)
-    freq, start = rans.frequency_table(tokens)
-    blocks = rans.encode(tokens, freq, start)
-    assert blocks.count() > 5 and blocks.select("block_id").distinct().count() == blocks.count()
+def pieces(archive):
     whole: dict = {}
-    for r in sorted(rans.decode(blocks, freq, start).collect(), key=lambda r: (r["block_id"], r["ord"])):
+    for r in sorted(rans.decode(archive).collect(), key=lambda r: (r["block_id"], r["ord"], r["part"])):
         whole.setdefault(r["doc_id"], []).append(r["token_ids"])
+    return whole
+
+
+def test_store_and_decode(spark, docs_of, monkeypatch, tmp_path):
+    monkeypatch.setattr(rans.encode, "__defaults__", (1000,))
+    rows = [*enumerate(ODD), (90, None), (91, ODD[5]), (91, ODD[5]), (92, "long text " * 5000), (None, "no id")]
+    docs = docs_of(rows).withColumnsRenamed({"lang": "n", "source": "ids"})
+    rans.store(docs).write.parquet(str(tmp_path / "archive"))
+    archive = spark.read.parquet(str(tmp_path / "archive"))
+    blocks = archive.where("block_id is not null")
+    assert blocks.count() > 5 and blocks.select("block_id").distinct().count() == blocks.count()
+    whole = pieces(archive)  # from the written rows alone
     for i, t in rows:
         parts = whole[i]
         assert parts == [None] if t is None else sum((p for p in parts if p), []) == reference().encode_ordinary(t) * (2 if i == 91 else 1)
-    broken = blocks.withColumn("crc32", blocks["crc32"] + 1)
+    broken = archive.withColumn("crc32", F.expr("transform(crc32, x -> if(block_id is null, x, x + 1))"))
     with pytest.raises(Exception, match="checksum"):
-        rans.decode(broken, freq, start).collect()
-    assert rans.store(docs.limit(0)).count() == 0
+        rans.decode(broken).collect()
+    empty = rans.store(docs.limit(0))
+    assert empty.where("block_id is not null").count() == 0 and rans.decode(empty).count() == 0
+
+
+def test_parts_of_a_long_block(spark, docs_of, monkeypatch):
+    """A block of several parts, with documents that lie across them, and null and empty ones at their edges."""
+    monkeypatch.setattr(rans, "STRIDE", 4)
+    rows = [(i, None if i % 7 == 3 else "" if i % 7 == 5 else " ".join(f"word{k % 97}" for k in range(i * 37 % 900))) for i in range(40)]
+    archive = rans.store(docs_of(rows, 1))
+    assert archive.where("size(crc32) > 3").count() > 0
+    whole = pieces(archive)
+    for i, t in rows:
+        assert whole[i] == [None] if t is None else sum((p for p in whole[i] if p), []) == reference().encode_ordinary(t)
 
 
 def test_store_of_the_table(spark):
     docs = table(spark, SF, "documents")
-    blocks = rans.store(docs).cache()
-    freq, start = rans.frequency_table(rans.tokenize(docs))
-    whole: dict = {}
-    for r in sorted(rans.decode(blocks, freq, start).collect(), key=lambda r: (r["block_id"], r["ord"])):
-        whole.setdefault(r["doc_id"], []).extend(r["token_ids"] or [])
+    whole = {i: sum((p or [] for p in x), []) for i, x in pieces(rans.store(docs).cache()).items()}
     assert whole == {r["doc_id"]: reference().encode_ordinary(r["text"]) for r in docs.collect()}
