@@ -8,8 +8,8 @@ As viewers do, the canvas starts transparent, and clearing makes it transparent.
 Edge cases: null data gives one row without a frame and the error "null"; data that is no GIF, or breaks off, gives the frames up to there and
 one row without a frame that names the error; a file without images gives one row with the error "no image"; pixels that a short code stream doesn't
 reach are left as they were, and those beyond an image are dropped; images that reach over the canvas are cut; palette indices without a colour
-are black; delays of 0 are kept. Canvases or images over MAX_PIXELS are refused with an error, since a few bytes can declare 17 GB. Repeated rows each give
-their frames. Only the two named columns are read, whatever other columns are called.
+are black; delays of 0 are kept. Canvases or images of more than max_pixels, a parameter of decode(), give a row with an error in place of frames, since a
+few bytes can declare 17 GB. Repeated rows each give their frames; an empty table gives an empty result. Only the two named columns are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import slices
 
-MAX_PIXELS = 1 << 24
+#: Pixels of the largest canvas or image that is decoded unless told otherwise; its frames are 256 MB each.
+MAX_PIXELS = 1 << 26
 #: Levels of red, green and blue in a histogram.
 LEVELS = 4
 FRAMES = "frame int, start_ms bigint, delay_ms int, width int, height int, rgba binary, histogram array<int>, transparent int, error string"
@@ -131,14 +132,14 @@ def _rows(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def frames(data: bytes):
+def frames(data: bytes, max_pixels: int = MAX_PIXELS):
     """Yields (delay in ms, canvas of height x width x 4) for each image; the canvas is used again. Raises GifError where the file is broken."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF")
     if len(data) < 13:
         raise GifError("breaks off")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
-    if width * height > MAX_PIXELS:
+    if width * height > max_pixels:
         raise GifError("too many pixels")
     at = 13
 
@@ -191,7 +192,7 @@ def frames(data: bytes):
             raise GifError("breaks off")
         x, y, w, h, own = struct.unpack_from("<HHHHB", data, at)
         at += 9
-        if w * h > MAX_PIXELS:
+        if w * h > max_pixels:
             raise GifError("too many pixels")
         colours = palette(own & 7) if own & 128 else common
         if colours is None:
@@ -298,7 +299,7 @@ def pictures(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, gif binary")
 
 
-def decode(media: DataFrame, key: str = "page_id", column: str = "gif") -> DataFrame:
+def decode(media: DataFrame, key: str = "page_id", column: str = "gif", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """(key, frame, start_ms, delay_ms, width, height, rgba, histogram, transparent, error): a row for each frame. No shuffle."""
     names = [key, *(x.split()[0] for x in FRAMES.split(", "))]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.string()]
@@ -309,7 +310,7 @@ def decode(media: DataFrame, key: str = "page_id", column: str = "gif") -> DataF
             return
         k, start, error = 0, 0, None
         try:
-            for delay, canvas in frames(data):
+            for delay, canvas in frames(data, max_pixels):
                 counts, clear = histogram(canvas)
                 yield k, start, delay, canvas.shape[1], canvas.shape[0], canvas.tobytes(), counts, clear, None
                 k, start = k + 1, start + delay

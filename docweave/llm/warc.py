@@ -2,8 +2,9 @@
 
 A record's bytes fall into its exact headers (the WARC header, and the HTTP header where there is one), the payload, and what
 follows it. Headers are kept for each record; payload bytes once for each SHA-256 digest, from the record with the smallest id. A
-digest that a record declares in that algorithm is held against the payload. Records are reconstructed by a join on the digest, and the
-digest of what comes out of the store is computed again. Everything runs as Spark expressions.
+digest that a record declares, as SHA-256, SHA-1, SHA-384, SHA-512 or MD5 in hexadecimal or base 32, is held against the payload. Records are
+reconstructed by a join on the digest, and the digest of what comes out of the store is computed again. One pass of Arrow batches finds the places
+in each record's bytes, which Spark's expressions would decode again for each place.
 
 Edge cases: a null record has null columns and comes back null; an empty record, one without the end of a header, or one shorter than its
 Content-Length is kept whole as its header, with an empty payload; without a Content-Length the payload goes to the end. Repeated records,
@@ -13,17 +14,23 @@ an empty archive. Columns other than the two named are left out, whatever their
 
 from __future__ import annotations
 
-import gzip
-import io
-from collections.abc import Iterator
+import base64
+import hashlib
+import re
+import zlib
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import joined, written
+from docweave.llm.common import drop, joined, slices, written
 
 END = "\r\n\r\n"
-COLUMNS = "record_id bigint, record binary"
+GZIP = b"\x1f\x8b"
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n")
+_HTTP = re.compile(rb"(?i)\r\ncontent-type:[ \t]*application/http")
+_DIGEST = re.compile(rb"(?i)\r\nwarc-payload-digest:[ \t]*([a-z0-9-]+):([a-z0-9=]+)[ \t]*\r\n")
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
@@ -44,57 +51,141 @@ def from_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint").alias("record_id"), F.concat(F.encode(head, "UTF-8"), F.encode(http, "UTF-8"), body, F.encode(F.lit(END), "UTF-8")).alias("record"))
 
 
-def split_stream(data: bytes) -> Iterator[bytes]:
-    """The records of a WARC file's bytes, plain or of gzip members; what can't be told apart comes as one record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        size = next((int(v) for k, _, v in (line.partition(b":") for line in data[at : max(end, at)].split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
-        if end < 0 or size is None:
-            yield data[at:]
+def unpacked(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of a file, out of gzip members if it begins with one. A member that is cut short or broken gives what could be unpacked of it; bytes behind it that begin no member come as they are."""
+    chunks, opened, plain = iter(chunks), None, False
+    rest = b""
+    for chunk in chunks:
+        rest += chunk
+        while rest:
+            if plain:
+                yield rest
+                rest = b""
+            elif opened is None:
+                if len(rest) < 2:
+                    break
+                if rest[:2] == GZIP:
+                    opened = zlib.decompressobj(31)
+                else:
+                    plain = True
+            else:
+                try:
+                    out, rest = opened.decompress(rest, 1 << 24), opened.unconsumed_tail
+                except zlib.error:
+                    plain = True
+                    continue
+                if out:
+                    yield out
+                if opened.eof:
+                    rest, opened = opened.unused_data, None
+    if opened is not None and (out := opened.flush()):
+        yield out
+    if rest:
+        yield rest
+
+
+def split_stream(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The records of a WARC file, plain or of gzip members, of which no more is held than one record and a chunk; what can't be told apart comes as one record."""
+    held, chunks = bytearray(), unpacked(chunks)
+    more = True
+
+    def fill(size: int) -> bool:
+        nonlocal more
+        while more and len(held) < size:
+            chunk = next(chunks, None)
+            if chunk is None:
+                more = False
+            else:
+                held.extend(chunk)
+        return len(held) >= size
+
+    seen = 0
+    while fill(1):
+        end = held.find(b"\r\n\r\n", max(0, seen - 3))
+        if end < 0 and more:
+            seen = len(held)
+            fill(seen + 1)
+            continue
+        seen = 0
+        says = _LENGTH.search(bytes(held[: end + 2])) if end >= 0 else None
+        if says is None:
+            fill(1 << 62)
+            yield bytes(held)
             return
-        stop = end + 4 + size
-        if data[stop : stop + 4] == b"\r\n\r\n":
+        stop = end + 4 + int(says[1])
+        fill(stop + 4)
+        if held[stop : stop + 4] == b"\r\n\r\n":
             stop += 4
-        yield data[at:stop]
-        at = stop
+        yield bytes(held[:stop])
+        del held[:stop]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record) of WARC files; ids follow the files' paths and the records' order, and are 64-bit hashes of both."""
-    import pyarrow as pa
+def read(spark: SparkSession, path: str, chunk: int = 1 << 23) -> DataFrame:
+    """(record_id, record) of WARC files of any size, each read by one task chunk by chunk; ids are 64-bit hashes of the files' paths and the records' places."""
 
     def run(batches):
+        from pyarrow import fs
+
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, record in enumerate(split_stream(data)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([record], pa.binary())], names=["path", "k", "record"])
+            for name in batch.column(0).to_pylist():
+                where, at = fs.FileSystem.from_uri(name)
+                with where.open_input_file(at) as f:
+                    for k, record in enumerate(split_stream(iter(lambda f=f: f.read(chunk), b""))):
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([record], pa.binary())], names=["path", "k", "record"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).selectExpr("replace(path, 'file:/', 'file:///') as path").repartition("path")
     return files.mapInArrow(run, "path string, k bigint, record binary").select(F.xxhash64("path", "k").alias("record_id"), "record")
 
 
-def parse(records: DataFrame) -> DataFrame:
-    """(record_id, header, payload, tail, digest, declared_fits) of each record."""
-    # one character for each byte, so that places in it are places in the record
-    rows = records.select(F.col("record_id").cast("bigint").alias("record_id"), "record").withColumn("latin", F.decode("record", "ISO-8859-1"))
-    rows = rows.withColumn("end", F.instr("latin", END)).withColumn("warc", F.when(F.col("end") > 0, F.expr("substring(latin, 1, end + 1)")).otherwise(""))
-    rows = rows.withColumn("says", F.expr(r"try_cast(regexp_extract(warc, '(?i)\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n', 1) as bigint)"))
-    http = F.expr(r"warc rlike '(?i)\r\ncontent-type:[ \t]*application/http'")
-    rows = rows.withColumn("inner", F.when((F.col("end") > 0) & http, F.expr(f"locate('{END}', latin, end + 4)")).otherwise(0))
-    rows = rows.withColumn("size", F.octet_length("record").cast("bigint")).withColumn("block", F.col("end") + 3)
-    fits = (F.col("end") > 0) & (F.col("says").isNull() | (F.col("block") + F.col("says") <= F.col("size")))
-    stop = F.when(fits, F.coalesce(F.col("block") + F.col("says"), "size")).otherwise(F.col("size"))
-    rows = rows.withColumn("stop", stop)
+def _places(record: bytes) -> tuple[int, int, bytes]:
+    """Where the payload starts and stops, and the WARC header with the line end of its last line."""
+    end, size = record.find(b"\r\n\r\n"), len(record)
+    if end < 0:
+        return size, size, b""
+    head, block = record[: end + 2], end + 4
+    found = _LENGTH.search(head)
+    says = int(found[1]) if found else None
+    if says is not None and block + says > size:
+        return size, size, head
+    stop = size if says is None else block + says
+    inner = record.find(b"\r\n\r\n", block) if _HTTP.search(head) else -1
     # an HTTP header that doesn't end in the record's block is part of the payload
-    start = F.when(~fits, F.col("size")).when((F.col("inner") > 0) & (F.col("inner") + 3 <= F.col("stop")), F.col("inner") + 3).otherwise(F.col("block"))
-    rows = rows.withColumn("start", start.cast("int")).withColumn("stop", F.col("stop").cast("int"))
-    rows = rows.withColumn("payload", F.expr("substring(record, start + 1, stop - start)"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("declared", F.expr(r"lower(regexp_extract(warc, '(?i)\r\nwarc-payload-digest:[ \t]*sha-?256:([0-9a-f]{64})[ \t]*\r\n', 1))"))
-    fits_digest = F.when(F.col("declared") != "", F.col("declared") == F.col("digest"))
-    return rows.select("record_id", F.expr("substring(record, 1, start)").alias("header"), "payload", F.expr("substring(record, stop + 1)").alias("tail"), "digest", fits_digest.alias("declared_fits"))
+    return (inner + 4 if 0 <= inner and inner + 4 <= stop else block), stop, head
+
+
+def _declared(head: bytes, payload: bytes) -> bool | None:
+    """Whether the payload has the digest that the header declares, in hexadecimal or base 32; None without one in an algorithm known here."""
+    found = _DIGEST.search(head)
+    kind = found and found[1].decode().lower().replace("-", "")
+    if not found or kind not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    own, said = hashlib.new(kind, payload).digest(), found[2].strip()
+    if len(said) not in (2 * len(own), -(-8 * len(own) // 5), -(-len(own) // 5) * 8):  # no digest of that kind
+        return None
+    return said.lower() == own.hex().encode() or said.upper().rstrip(b"=") == base64.b32encode(own).rstrip(b"=")
+
+
+def parse(records: DataFrame, whole: bool = True) -> DataFrame:
+    """(record_id, header, tail, digest, declared_fits) of each record, or (record_id, digest, payload) unless whole."""
+
+    def run(batches):
+        for part in slices(batches, 256):
+            rows = []
+            for record in part.column(1).to_pylist():
+                if record is None:
+                    rows.append((None,) * (4 if whole else 2))
+                    continue
+                start, stop, head = _places(record)
+                payload = record[start:stop]
+                digest = hashlib.sha256(payload).hexdigest()
+                rows.append((record[:start], record[stop:], digest, _declared(head, payload)) if whole else (digest, payload))
+            if rows:
+                kinds = [pa.binary(), pa.binary(), pa.string(), pa.bool_()] if whole else [pa.string(), pa.binary()]
+                names = ["header", "tail", "digest", "declared_fits"] if whole else ["digest", "payload"]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, k) for x, k in zip(zip(*rows), kinds)]], names=["record_id", *names])
+
+    schema = "record_id bigint, header binary, tail binary, digest string, declared_fits boolean" if whole else "record_id bigint, digest string, payload binary"
+    return records.select(F.col("record_id").cast("bigint").alias("record_id"), "record").mapInArrow(run, schema)
 
 
 def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,23 +193,27 @@ def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Payload bytes aren't shuffled to find the copies: the owner of each digest, the record of the smallest id, is found from the headers alone.
     """
-    parsed = parse(records)
-    headers = written(parsed.select("record_id", "header", "tail", "digest", "declared_fits"), "headers")
-    owners = written(headers.where("digest is not null").groupBy("digest").agg(F.min("record_id").alias("owner")), "owners")
-    rows = owners.count()
-    named = owners.where("owner is not null").withColumnRenamed("owner", "record_id")
-    mine = joined(parsed.select("record_id", "digest", "payload"), named, rows, ["record_id", "digest"], "inner")
+    headers = written(parse(records), "headers")
+    same = headers.where("digest is not null").groupBy("digest").agg(F.min("record_id").alias("owner"), F.count("*").alias("many"))
+    owners = written(same, "owners")
+    few = owners.where("many > 1")
+    # of most payloads there is one record: those that aren't kept are named, by their ids
+    gone = headers.join(few.select("digest", "owner"), "digest").where("record_id is not null and record_id <> owner").select("record_id", "digest").distinct()
+    gone = written(gone, "gone")
+    rows = parse(records, False).where("digest is not null")
+    mine = joined(rows, gone, 128 * gone.count(), ["record_id", "digest"], "left_anti")
     # the same id can come with the same payload more than once, and a payload may have no record with an id
     again = headers.where("digest is not null").groupBy("digest", "record_id").count().where("count > 1 or record_id is null").select("digest").distinct()
     again = written(again, "again")
     if n := again.count():
-        rest = joined(parsed.select("record_id", "digest", "payload"), again, n, "digest", "left_semi")
-        once = rest.groupBy("digest").agg(F.min("record_id").alias("owner"), F.first("payload").alias("payload"))
-        mine = joined(mine, again, n, "digest", "left_anti")
+        once = joined(rows, again, 128 * n, "digest", "left_semi").groupBy("digest").agg(F.min("record_id").alias("owner"), F.first("payload").alias("payload"))
+        mine = joined(mine, again, 128 * n, "digest", "left_anti")
         payloads = mine.select("digest", F.col("record_id").alias("owner"), "payload").unionByName(once)
     else:
         payloads = mine.select("digest", F.col("record_id").alias("owner"), "payload")
-    return headers, written(payloads, "payloads")
+    payloads = written(payloads, "payloads")
+    drop(owners, gone, again)
+    return headers, payloads
 
 
 def restore(headers: DataFrame, payloads: DataFrame) -> DataFrame:

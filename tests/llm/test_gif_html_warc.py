@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import random
@@ -182,3 +183,28 @@ def test_pages_as_records(spark):
     df = spark.createDataFrame([(1, "http://a/\r\nX: y", "é"), (2, None, None), (None, "u", "é")], "page_id bigint, url string, html string")
     back = warc.restore(*warc.store(warc.from_pages(df))).collect()
     assert {(r["record_id"], r["payload_bytes"], r["verified"], r["declared_fits"]) for r in back} == {(1, 2, True, True), (2, 0, True, True), (None, 2, True, True)}
+
+
+def test_broken_files(spark, tmp_path):
+    """What can be unpacked of a file is read, whatever stands behind it."""
+    rs = [record(f"payload {i} ".encode() * (1 + 3000 * i)) for i in range(4)]
+    whole = b"".join(map(gzip.compress, rs))
+    cases = {"cut": whole[:-40], "behind": whole + b"no member", "broken": whole[: len(gzip.compress(rs[0]))] + b"\x1f\x8b" + b"\xff" * 50, "empty": b"", "one": b"\x1f"}
+    for size in (7, 1 << 20):
+        read = {k: list(warc.split_stream(x[i : i + size] for i in range(0, len(x), size))) for k, x in cases.items()}
+        assert read["cut"][:3] == rs[:3] and len(read["cut"]) == 4 and rs[3].startswith(read["cut"][3][:5000])
+        assert read["behind"] == [*rs, b"no member"] and read["broken"][0] == rs[0]
+        assert read["empty"] == [] and read["one"] == [b"\x1f"]
+    for k, x in cases.items():
+        (tmp_path / f"{k}.warc.gz").write_bytes(x)
+    got = warc.read(spark, str(tmp_path), 1000)
+    assert got.count() == sum(map(len, read.values()))
+    back = warc.restore(*warc.store(got))
+    assert sorted(r["record"] for r in back.collect()) == sorted(r["record"] for r in got.collect())
+
+
+def test_declared_digests():
+    body = b"some payload"
+    sha1 = hashlib.sha1(body).digest()
+    for said, right in ((b"sha1:" + base64.b32encode(sha1), True), (b"SHA-1:" + sha1.hex().encode(), True), (b"sha1:" + base64.b32encode(bytes(20)), False), (b"md5:" + hashlib.md5(body).hexdigest().encode(), True), (b"crc:12", None)):
+        assert warc._declared(b"WARC/1.0\r\nWARC-Payload-Digest: " + said + b"\r\n", body) is right
