@@ -1,11 +1,14 @@
 """Operator 4: a quality classifier by Bradley-Terry pairwise ranking.
 
-A document's score is linear in features of its whole text. The weights maximise the likelihood that, in preference pairs of
-a labelled good and a labelled bad document, the good one wins: logistic loss on feature differences. Documents are kept whose
-score is above the quantile of the labelled scores that the share of bad labels names.
+A document's score is linear in features of its whole text: counts and ratios of its characters and words, and how its words fall into WORDS classes
+by their hashes. The weights maximise the likelihood that, in preference pairs of
+a labelled good and a labelled bad document, the good one wins: logistic loss on feature differences. They are fitted on a bounded sample of labelled
+documents. Documents are kept whose score reaches the quantile of the scores of all labelled documents that the share of bad labels names; it is
+read from counts of the scores in BINS bins, so that any number of labels gives a result of one size.
 
 Edge cases: a null text has a null score and is rejected; an empty text is scored like any other; equal texts have equal
-scores, and a score equal to the threshold is kept; null or missing labels are ignored; without labels of both kinds, all
+scores, and a score equal to the threshold is kept; a document with several labels is good if any says so; null or missing labels are ignored; an empty
+table gives an empty result; very long texts are read whole; without labels of both kinds, all
 non-null texts score 0 and are kept. Columns other than doc_id and text are passed on by select(), whatever their names.
 """
 
@@ -16,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import slices
+from docweave.llm.common import joined, mix, slices
 
 #: Labelled documents that the fit uses at most, by the order of a hash of their ids.
 MAX_LABELLED = 20_000
 #: Preference pairs drawn from them.
 PAIRS = 200_000
-NAMES = ("log_words", "upper", "bang", "bar", "symbol", "digit", "newline", "word_length", "adjacent_repeat", "distinct", "sqrt_upper", "sqrt_bang", "sqrt_bar", "sqrt_symbol", "sqrt_repeat")
+#: Classes of words, and bins of the scores of labelled documents.
+WORDS, BINS = 32, 1 << 16
+NAMES = ("log_words", "upper", "bang", "bar", "symbol", "digit", "newline", "word_length", "adjacent_repeat", "distinct", "sqrt_upper", "sqrt_bang", "sqrt_bar", "sqrt_symbol", "sqrt_repeat", *(f"words_{i}" for i in range(WORDS)))
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = 1
@@ -70,11 +75,12 @@ def features(texts: pa.Array) -> np.ndarray:
     fresh = np.concatenate([[True], (ho[1:] != ho[:-1]) | (oo[1:] != oo[:-1])]) if len(ho) else np.zeros(0, bool)
     distinct = np.bincount(oo[fresh], minlength=n)
     per = np.maximum(words, 1)
+    classes = np.bincount(owner * WORDS + (mix(h) >> np.uint64(32)).astype(np.int64) % WORDS, minlength=WORDS * n).reshape(n, WORDS) / per[:, None] if len(h) else np.zeros((n, WORDS))
     letters = by[:, 1] + by[:, 2]
     upper, bang, bar, symbol = by[:, 2] / np.maximum(letters, 1), by[:, 6] / per, by[:, 7] / per, by[:, 8] / per
     repeat = repeats / per
     columns = [np.log1p(words), upper, bang, bar, symbol, by[:, 3] / np.maximum(sizes, 1), by[:, 5] / per, (sizes - by[:, 4] - by[:, 5]) / per, repeat, distinct / per]
-    return np.column_stack([*columns, *map(np.sqrt, (upper, bang, bar, symbol, repeat))])
+    return np.column_stack([*columns, *map(np.sqrt, (upper, bang, bar, symbol, repeat)), classes])
 
 
 class Model:
@@ -101,12 +107,15 @@ def train(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, l2: float = 1e-3,
     z = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(7)
     winners, losers = np.flatnonzero(good), np.flatnonzero(~good)
-    d = z[rng.choice(winners, pairs)] - z[rng.choice(losers, pairs)]
+    left, right = rng.choice(winners, pairs), rng.choice(losers, pairs)
     w = np.zeros(k)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -50, 50)))
-        gradient = d.T @ (p - 1) / len(d) + l2 * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + l2 * np.eye(k)
+        gradient, hessian = l2 * w, l2 * np.eye(k)
+        for a in range(0, pairs, 20_000):
+            d = z[left[a : a + 20_000]] - z[right[a : a + 20_000]]
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -50, 50)))
+            gradient = gradient + d.T @ (p - 1) / pairs
+            hessian = hessian + (d * (p * (1 - p))[:, None]).T @ d / pairs
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -118,10 +127,42 @@ def train(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, l2: float = 1e-3,
     return model
 
 
+def _labelled(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("_good"))
+
+
+def cut(docs: DataFrame, labels: DataFrame, model: Model) -> float:
+    """The score below which lie as many of all labelled documents as are labelled bad, to a bin of the range that scores can have."""
+    known = _labelled(labels)
+    reach = 8 * float(np.abs(model.weights).sum())
+    if not reach:
+        return model.threshold
+    picked = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    size = 64 * known.count()
+    picked = joined(picked, known.withColumnRenamed("_id", "doc_id"), size, "doc_id", "inner")
+
+    def run(batches):
+        total = np.zeros(2 * BINS, np.int64)
+        for part in slices(batches):
+            at = np.clip(((model.score(features(part.column(1))) + reach) / (2 * reach) * BINS).astype(np.int64), 0, BINS - 1)
+            total += np.bincount(at * 2 + part.column(2).to_numpy(), minlength=2 * BINS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((some // 2).astype(np.int32)), pa.array((some % 2).astype(np.int32)), pa.array(total[some])], names=["bin", "good", "n"])
+
+    rows = picked.select("doc_id", "text", "_good").mapInArrow(run, "bin int, good int, n bigint").groupBy("bin", "good").agg(F.sum("n").alias("n")).collect()
+    bad = sum(r["n"] for r in rows if not r["good"])
+    if not bad or bad == sum(r["n"] for r in rows):
+        return model.threshold
+    at = np.bincount([r["bin"] for r in rows], [r["n"] for r in rows], BINS)
+    below = np.concatenate([[0], np.cumsum(at)])
+    best = np.abs(below - bad)
+    ties = np.flatnonzero(best == best.min())  # edges without a score between them
+    return float((ties[0] + ties[-1]) / 2 / BINS * 2 * reach - reach)
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
-    """The model of the labelled documents, at most bound of them. Only their features reach the driver; the sample that is broadcast is no larger than bound."""
-    picked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_good"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    """The model of at most bound labelled documents, and the threshold of all. Only the features of the sample reach the driver; the sample that is broadcast is no larger than bound."""
+    picked = _labelled(labels).orderBy(F.xxhash64("_id"), "_id").limit(bound).withColumnRenamed("_id", "doc_id")
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
 
     def run(batches):
@@ -135,7 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
         return train(np.zeros((0, len(NAMES))), np.zeros(0, bool))
     x, good = np.stack(rows["x"].to_numpy()), rows["good"].to_numpy() == 1
     order = np.lexsort((*x.T, rows["doc_id"].to_numpy()))  # the rows' order must not matter
-    return train(x[order], good[order])
+    model = train(x[order], good[order])
+    model.threshold = cut(docs, labels, model)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -35,6 +35,52 @@ def test_marginals_match_all_paths(seed):
         assert np.allclose(toxicity.chain(emission, first, move, start, width), np.concatenate(want), atol=1e-9)
 
 
+def test_gradient_is_that_of_the_likelihood():
+    """The sums over all paths that the chain gives, against a difference of logarithms."""
+    rng = np.random.default_rng(3)
+    first = np.zeros(40, bool)
+    first[[0, 7, 8, 25]] = True
+    e, move, start = rng.normal(0, 2, 40), np.exp(rng.normal(0, 1, (2, 2))), np.exp(rng.normal(0, 1, 2))
+    p, moves, total = toxicity.chain(e, first, move, start, sums=True)
+    for i, j in itertools.product((0, 1), (0, 1)):
+        more = move.copy()
+        more[i, j] *= np.exp(1e-5)
+        assert abs((toxicity.chain(e, first, more, start, sums=True)[2] - total) / 1e-5 - moves[i, j]) < 1e-3
+    for t in (0, 8, 30):
+        more = e.copy()
+        more[t] += 1e-5
+        assert abs((toxicity.chain(more, first, move, start, sums=True)[2] - total) / 1e-5 - p[t]) < 1e-3
+    assert abs(moves.sum() - 36) < 1e-9
+
+
+def test_context_decides():
+    """Words that are toxic only behind certain others, and only in runs: a list of words can't tell them, the chain does."""
+    rng = random.Random(4)
+    plain = [f"plain{i}" for i in range(40)]
+
+    def made(n):
+        texts, labels = [], []
+        for _ in range(n):
+            words, y = [], []
+            for _ in range(12):
+                words += [rng.choice(plain) for _ in range(rng.randrange(1, 5))]
+                y += [0] * (len(words) - len(y))
+                if rng.random() < 0.5:
+                    bad = rng.random() < 0.5
+                    words += [rng.choice(("lousy", "rotten") if bad else ("fine", "ripe"))] + [rng.choice(("apple", "pear")) for _ in range(2)]
+                    y += [int(bad)] * 3
+            texts.append(words)
+            labels.append(np.array(y))
+        return texts, labels
+
+    model = toxicity.train_tokens(*made(150))
+    texts, labels = made(60)
+    got = [p >= 0.5 for p in model.marginals(texts)]
+    fruit = [(g, y) for x, a, b in zip(texts, got, labels) for w, g, y in zip(x, a, b) if w in ("apple", "pear")]
+    assert 0.3 < np.mean([y for _, y in fruit]) < 0.7 and all(g == y for g, y in fruit)
+    assert all((a == b).all() for a, b in zip(got, labels))
+
+
 def invented(rng, n):
     clean = [f"clean{i}" for i in range(300)]
     rows = []
@@ -107,8 +153,13 @@ def test_loss_is_least():
     good = x @ [1, -2, 0, 0.5] + rng.normal(0, 1, 300) > 0
     model = quality.train(x, good, 20_000)
     z = np.clip((x - model.mean) / model.scale, -8, 8)
-    d = z[np.random.default_rng(7).choice(np.flatnonzero(good), 20_000)]
-    assert np.corrcoef(model.weights, [1, -2, 0, 0.5])[0, 1] > 0.97 and len(d)
+    draw = np.random.default_rng(7)
+    d = z[draw.choice(np.flatnonzero(good), 20_000)] - z[draw.choice(np.flatnonzero(~good), 20_000)]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 0.5e-3 * w @ w
+    least = loss(model.weights)
+    for _ in range(200):
+        assert loss(model.weights + rng.normal(0, rng.choice((1e-3, 1e-2, 0.3)), 4)) > least
+    assert np.corrcoef(model.weights, [1, -2, 0, 0.5])[0, 1] > 0.97
     assert (model.score(x) >= model.threshold).sum() == good.sum()
 
 
