@@ -11,7 +11,7 @@ spans. What stays has no passage of LENGTH + GAP - 1 words twice, and each remov
 All automata are broadcast if the reference text is at most BROADCAST_WORDS words; else documents are sent to the shards that
 they share a window with. No shard and no task holds more than SHARD_WORDS words of reference.
 
-Edge cases: a null text stays null; an empty text stays as it is; repeated rows with one doc_id
+Edge cases: a null text stays null; an empty text stays as it is; an empty table stays empty; very long texts are streamed whole; repeated rows with one doc_id
 leave each other alone, for their passages stand at one place; passages that repeat within a document lose their later occurrence too; null doc_ids are passed on as
 they are. Other columns are passed on whatever their names.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import WordHash, joined, slices, windows, written
+from docweave.llm.common import WordHash, drop, fresh_name, joined, slices, windows, written
 
 LENGTH, GAP = 44, 7
 SHARD_WORDS, BROADCAST_WORDS = 100_000, 20_000
@@ -180,15 +180,10 @@ def _copies(docs: DataFrame, length: int, gap: int) -> DataFrame:
     return windows_.repartition("h").mapInArrow(pair, "doc bigint, at int, owner bigint, owner_at int")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _doc, the doc_id as a number."""
-    return docs.withColumn("_doc", F.col("doc_id").cast("bigint"))
-
-
 def spans(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
     """(doc, text_hash, spans): word offsets [start, end) of what goes, for the documents that lose something."""
-    docs = _numbered(docs)
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text")
     copies = written(_copies(docs, length, gap), "copies")
     root = copies.groupBy("doc").agg(F.min("owner").alias("root"))
     owners = copies.groupBy("owner").agg(F.array_sort(F.collect_set("owner_at")).alias("places"))
@@ -202,7 +197,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
     refs_of = owners.groupBy("owner").agg(F.first("places").alias("places"), F.first("shard").alias("shard")).withColumnRenamed("owner", "_doc")
     wanted = copies.select("doc", "owner").distinct().join(owners.select("owner", "shard"), "owner").groupBy("doc").agg(F.collect_set("shard").alias("shards"))
     plan = written(refs_of.join(wanted.withColumnRenamed("doc", "_doc"), "_doc", "full"), "plan")
-    rows = plan.count()
+    rows, entries = plan.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("places"), F.lit(0)) + F.greatest(F.size("shards"), F.lit(0))), F.lit(0))).first()
+    drop(copies, owners)
 
     def cut(batches):
         """Rows of reference text (role 0) and of documents to stream (role 1), as 32-bit words."""
@@ -227,7 +223,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(role, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(packed, pa.binary()), pa.array(of, pa.int64())], names=["shard", "role", "doc", "start", "words", "text_hash"])
 
     base = docs.where("_doc is not null and text is not null").select("_doc", "text")
-    picked = joined(base, plan, rows, "_doc", "inner").select("_doc", "text", "places", "shard", "shards", F.xxhash64("text"))
+    picked = joined(base, plan, 96 * rows + 8 * entries, "_doc", "inner").select("_doc", "text", "places", "shard", "shards", F.xxhash64("text"))
     schema = "shard bigint, role int, doc bigint, start int, words binary, text_hash bigint"
     found = "doc bigint, text_hash bigint, a int, b int"
 
@@ -277,10 +273,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gap: int = GAP, report: bool =
     if report:
         docs = docs.select("doc_id", "text")
     gone = written(spans(docs, length, gap), "spans")
-    rows = gone.count()
+    rows, entries = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     names = docs.columns
-    both = _numbered(docs).withColumn("_hash", F.xxhash64("text"))
-    both = joined(both, gone.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash", "spans": "_spans"}), rows, ["_doc", "_hash"], "left").select(*[f"`{n}`" for n in names], "_spans")
+    doc, text_hash, marks = (fresh_name(docs, x) for x in ("doc", "hash", "spans"))
+    both = docs.withColumns({doc: F.col("doc_id").cast("bigint"), text_hash: F.xxhash64("text")})
+    both = joined(both, gone.toDF(doc, text_hash, marks), 96 * rows + 32 * entries, [doc, text_hash], "left").select(*[f"`{n}`" for n in names], marks)
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
     schema = T.StructType([*docs.schema, *([T.StructField("n_removed", T.IntegerType())] if report else [])])
 

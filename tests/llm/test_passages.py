@@ -60,7 +60,7 @@ def test_spans_against_brute_force(spark, docs_of, monkeypatch, seed, broadcast)
 def test_dedup_edges(spark, docs_of):
     passage = " ".join(f"p{i}" for i in range(80))
     rows = [(1, f"one {passage} end"), (2, f"two\n{passage}\nrest here"), (3, None), (4, ""), (5, "short"), (None, passage), (6, f"{passage} mid {passage}"), (7, passage), (7, passage)]
-    docs = docs_of(rows).withColumnRenamed("source", "spans")
+    docs = docs_of(rows).withColumnsRenamed({"source": "spans", "lang": "_doc"}).selectExpr("*", "1 as _hash", "2 as _spans", "3 as shard")
     out = substring.dedup(docs)
     assert out.columns == docs.columns
     got = sorted(((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in out.collect()), key=str)
