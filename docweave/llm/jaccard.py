@@ -11,7 +11,7 @@ may be too short for that, and all that could be partners of theirs, are indexed
 Equal sets are one from the start, so copies cost no pairs. Signatures and lists travel in packed blocks. The lists of one group of near copies
 mostly begin with one of a few sets, and meet there; lists of more than LONG sets are split into blocks of sets, each pair of blocks on its own.
 Of two sets, their sizes say how many signatures they share at least if they are partners; candidates that do are verified on the whole sets, as
-64-bit hashes of n-grams, in cells of at most two blocks of BLOCK sets about. What leaves a cell grows with its sets, not with its pairs:
+48-bit hashes of their n-grams, in cells of at most two blocks of BLOCK sets about. What leaves a cell grows with its sets, not with its pairs:
 how many partners each has, and edges that connect them.
 
 Edge cases: null and empty texts and texts without words have no partners; rows with a null doc_id are left out; a text of fewer words than an
@@ -38,7 +38,7 @@ SHARED, SMALL = 3, 20
 FREQUENT, CLASSES = 4096, 8
 SKETCH_BITS, CHUNKS = 20, 64
 #: Signatures that one part of an exchange holds about, and that a task packs at once.
-PART, LOT = 1_000_000, 2_000_000
+PART, LOT = 4_000_000, 2_000_000
 #: Sets that a list holds before it is split, and sets of a block.
 LONG, BLOCK = 1024, 512
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -297,7 +297,7 @@ def _unpack_lists(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _lists_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+def _lists_of(rows: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """(plain, sets, keys, sizes) of each signature of a part that several sets have; the sets of one by key."""
     sig, key, size = [], [], []
     for n, k, _, body, ids in rows:
@@ -315,6 +315,12 @@ def _lists_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     fresh = np.ones(len(sig), bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
     sig, key, size = sig[fresh], key[fresh], size[fresh]
+    # a set whose size fits no other of its list has no partner there
+    order = np.lexsort((size, sig))
+    fits = np.zeros(len(sig), bool)
+    near = (sig[order][1:] == sig[order][:-1]) & (size[order][:-1] >= need(size[order][1:], threshold))
+    fits[order[1:][near]] = fits[order[:-1][near]] = True
+    sig, key, size = sig[fits], key[fits], size[fits]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     many = np.diff(np.append(first, len(sig)))
     keep = many > 1
@@ -324,14 +330,14 @@ def _lists_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return (sig[first[keep]] & 1).astype(np.uint8), many[keep], key[at], size[at]
 
 
-def _split(plain: np.ndarray, many: np.ndarray, key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+def _split(plain: np.ndarray, many: np.ndarray, key: np.ndarray, size: np.ndarray, long: int) -> tuple[np.ndarray, ...]:
     """(hub, plain, sets, left, keys, sizes): long lists as the pairs of their blocks; left is how many sets of a list stand on its left side, 0 where all are paired with all."""
     starts = np.cumsum(many) - many
-    short = np.flatnonzero(many <= LONG)
+    short = np.flatnonzero(many <= long)
     out = [(key[starts[short]], plain[short], many[short], np.zeros(len(short), np.int64), key[at := _ragged(starts[short], many[short])], size[at])]
-    for i in np.flatnonzero(many > LONG).tolist():
+    for i in np.flatnonzero(many > long).tolist():
         own, sizes = key[starts[i] : starts[i] + many[i]], size[starts[i] : starts[i] + many[i]]
-        blocks = 1 << int(np.ceil(np.log2(many[i] / (LONG // 2))))
+        blocks = 1 << int(np.ceil(np.log2(many[i] / (long // 2))))
         kind = (mix(own) % np.uint64(blocks)).astype(np.int64)
         groups = [np.flatnonzero(kind == b) for b in range(blocks)]
         for a in range(blocks):
@@ -371,17 +377,17 @@ def _pairs_of(sig: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float)
                     yield fine(base + a[upper], base + b[upper])
 
 
-def _counted(flag: np.ndarray, many: np.ndarray, left: np.ndarray, key: np.ndarray, size: np.ndarray, threshold: float):
+def _counted(flag: np.ndarray, many: np.ndarray, left: np.ndarray, key: np.ndarray, size: np.ndarray, threshold: float, block: int = BLOCK):
     """Yields (a, b, times, least) for the lists of one hub, all pairs of sets at once, by matrix products over blocks of sets."""
     ids, first, which = np.unique(key, return_index=True, return_inverse=True)
     n = size[first]
     of = np.repeat(np.arange(len(many)), many)
     cross = left > 0  # of one hub all or none
     on_left = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many) < left[of] if cross.any() else None
-    for lo in range(0, len(ids), BLOCK):
-        hi = min(len(ids), lo + BLOCK)
-        for lo2 in range(lo, len(ids), 2 * BLOCK):
-            hi2 = min(len(ids), lo2 + 2 * BLOCK)
+    for lo in range(0, len(ids), block):
+        hi = min(len(ids), lo + block)
+        for lo2 in range(lo, len(ids), 2 * block):
+            hi2 = min(len(ids), lo2 + 2 * block)
             times = np.zeros((2, hi - lo, hi2 - lo2), np.float32)
             for plain in (0, 1):
                 lists = np.flatnonzero(flag == plain)
@@ -410,9 +416,10 @@ def _counted(flag: np.ndarray, many: np.ndarray, left: np.ndarray, key: np.ndarr
 
 
 def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold: float) -> DataFrame:
-    """(a, b): keys, a < b, of sets that share enough signatures. total: tokens of all sets."""
+    """(cell, a, b): keys, a < b, of sets that share enough signatures, by the cells in which they are verified; b is null for the sets of a cell. total: tokens of all sets."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     parts = max(8, -(-total // (2 * PART)))
+    fewer = max(8, parts // 2)  # lists and pairs are fewer than signatures, and blocks of many name their sets more cheaply
 
     def sign(batches):
         hashes, done = WordHash(), set()
@@ -450,15 +457,15 @@ def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold:
         held: list[tuple] = []
         have = 0
         for rows in _by_part(batches):
-            found = _lists_of(rows)
+            found = _lists_of(rows, threshold)
             if found:
-                held.append(_split(*found))
+                held.append(_split(*found, LONG))
                 have += len(held[-1][4])
                 if have > LOT // 2:
-                    yield _pack_lists(*map(np.concatenate, zip(*held)), parts)
+                    yield _pack_lists(*map(np.concatenate, zip(*held)), fewer)
                     held, have = [], 0
         if held:
-            yield _pack_lists(*map(np.concatenate, zip(*held)), parts)
+            yield _pack_lists(*map(np.concatenate, zip(*held)), fewer)
 
     def pair(batches):
         held: list[tuple] = []
@@ -466,16 +473,17 @@ def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold:
 
         def close():
             nonlocal held, have
-            a, b, times, least = _summed(*map(np.concatenate, zip(*held)))
+            a, b, times, least, hub = _summed(*map(np.concatenate, zip(*held)))
             held, have = [], 0
-            part, _ = _parts_of(mix(a), parts)
+            part, _ = _parts_of(mix(a), fewer)
             order = np.argsort(part, kind="stable")
             edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]]))
             rows = []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 own = order[lo:hi]
-                ids, runs = np.unique(a[own], return_counts=True)  # a grows within a part
-                rows.append((int(part[own[0]]), hi - lo, len(ids), 0, _planes(runs.astype("<u4"), np.minimum(times[own], 65535).astype("<u2"), np.minimum(least[own], 65535).astype("<u2")), np.concatenate([ids, b[own]]).astype("<u8").tobytes()))
+                ids, first, runs = np.unique(a[own], return_index=True, return_counts=True)  # a grows within a part
+                hubs = np.minimum.reduceat(hub[own], first)
+                rows.append((int(part[own[0]]), hi - lo, len(ids), 0, _planes(runs.astype("<u4"), np.minimum(times[own], 65535).astype("<u2"), np.minimum(least[own], 65535).astype("<u2")), np.concatenate([ids, hubs, b[own]]).astype("<u8").tobytes()))
             return _block(rows)
 
         for rows in _by_part(batches):
@@ -498,18 +506,18 @@ def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold:
                 if left[s] == 0 and (e - s) * float(len(np.unique(key[lo:hi]))) ** 2 > 500 * float(work[h]):
                     rest = np.concatenate([rest, np.arange(s, e)])
                     continue
-                for found in _counted(flag[s:e], many[s:e], left[s:e], key[lo:hi], size[lo:hi], threshold):
-                    held.append(found)
+                for found in _counted(flag[s:e], many[s:e], left[s:e], key[lo:hi], size[lo:hi], threshold, BLOCK):
+                    held.append((*found, np.full(len(found[0]), hub[s])))
                     have += len(found[0])
                 if have > LOT:
                     yield close()
             if len(rest):
                 at = _ragged(starts[rest], many[rest])
                 sig = np.repeat(2 * np.arange(len(rest)) + flag[rest], many[rest])
-                k, z = key[at], size[at]
+                k, z, h = key[at], size[at], np.repeat(hub[rest], many[rest])
                 for i, j in _pairs_of(sig, k, z, threshold):
                     if len(i):
-                        held.append((np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), np.ones(len(i), np.int64), shares(z[i], z[j], threshold)))
+                        held.append((np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), np.ones(len(i), np.int64), shares(z[i], z[j], threshold), h[i]))
                         have += len(i)
                         if have > LOT:
                             yield close()
@@ -517,29 +525,48 @@ def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold:
             yield close()
 
     def count(batches):
+        def emit(cell, a, b):
+            for k in range(0, len(a), 100_000):
+                x, y = a[k : k + 100_000].view(np.int64), pa.nulls(len(a[k : k + 100_000]), pa.int64()) if b is None else pa.array(b[k : k + 100_000].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[k : k + 100_000].view(np.int64)), pa.array(x), y], names=["cell", "a", "b"])
+
         for rows in _by_part(batches):
             held = []
             for n_, k, _, body, ids in rows:
                 runs, times, least = _columns(body, (k, "<u4"), (n_, "<u2"), (n_, "<u2"))
-                both = np.frombuffer(ids, "<u8")
-                held.append((np.repeat(both[:k], runs), both[k:], times.astype(np.int64), least.astype(np.int64)))
-            a, b, times, least = _summed(*map(np.concatenate, zip(*held)))
+                all_ = np.frombuffer(ids, "<u8")
+                held.append((np.repeat(all_[:k], runs), all_[2 * k :], times.astype(np.int64), least.astype(np.int64), np.repeat(all_[k : 2 * k], runs)))
+            a, b, times, least, hub = _summed(*map(np.concatenate, zip(*held)))
             keep = times >= least
-            a, b = a[keep].view(np.int64), b[keep].view(np.int64)
-            for k in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], names=["a", "b"])
+            if not keep.any():
+                continue
+            a, b, hub = a[keep], b[keep], hub[keep]
+            # the pairs of one set go where most of its group's do, and by blocks if they are many
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            many = np.diff(np.append(first, len(a)))
+            hub = np.repeat(np.minimum.reduceat(hub, first), many)
+            blocks = np.repeat(1 << np.ceil(np.log2(np.maximum(many / BLOCK, 1))).astype(np.int64), many).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                x, y = mix(a * _A) % blocks, mix(b * _A) % blocks
+                cell = mix(hub + blocks * _A + np.minimum(x, y) * _B + mix(np.maximum(x, y) + np.uint64(1)))
+            yield from emit(cell, a, b)
+            both, sets = np.concatenate([cell, cell]), np.concatenate([a, b])
+            order = np.lexsort((sets, both))
+            both, sets = both[order], sets[order]
+            new = np.concatenate([[True], (both[1:] != both[:-1]) | (sets[1:] != sets[:-1])])
+            yield from emit(both[new], sets[new], None)
 
     blocks = docs.select("_doc", "text").mapInArrow(sign, _BLOCKS)
-    for step, schema in ((lists, _BLOCKS), (pair, _BLOCKS), (count, "a bigint, b bigint")):
+    for step, schema in ((lists, _BLOCKS), (pair, _BLOCKS), (count, "cell bigint, a bigint, b bigint")):
         blocks = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(step, schema)
     return blocks
 
 
-def _summed(a: np.ndarray, b: np.ndarray, times: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+def _summed(a: np.ndarray, b: np.ndarray, times: np.ndarray, least: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    return a[first], b[first], np.add.reduceat(times[order], first), np.maximum.reduceat(least[order], first)
+    return a[first], b[first], np.add.reduceat(times[order], first), np.maximum.reduceat(least[order], first), np.minimum.reduceat(hub[order], first)
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -554,16 +581,8 @@ def _verified(docs: DataFrame, n: int, threshold: float, pairs: bool) -> tuple[D
     sets = written(survey.where("chunk is null").select("doc", "key", "n"), "sets")
     drop(survey)
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    edges = written(_candidates(base, counts, total, n, threshold), "candidates")
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    hub = both.groupBy("a").agg(F.min("b").alias("hub"))
-    placed = edges.join(hub, "a").withColumn("hub", F.least("hub", "a"))
-    members = placed.select("hub", F.explode(F.array("a", "b")).alias("key")).groupBy("hub").agg(F.ceil(F.countDistinct("key") / F.lit(BLOCK)).alias("blocks"))
-    side = lambda x: F.pmod(F.xxhash64(x, F.lit(1)), F.col("blocks"))
-    placed = placed.join(members, "hub").select("a", "b", F.xxhash64("hub", F.least(side("a"), side("b")), F.greatest(side("a"), side("b"))).alias("cell"))
-    placed = written(placed, "cells")
-    drop(edges)
-    members = placed.select("cell", F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.collect_set("cell").alias("cells"))
+    placed = written(_candidates(base, counts, total, n, threshold), "candidates")
+    members = placed.where("b is null").groupBy(F.col("a").alias("key")).agg(F.collect_set("cell").alias("cells"))
     known = sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("_doc"), F.countDistinct("doc").alias("copies"))
     source = written(members.join(known, "key"), "sources")
     rows, cells = source.agg(F.count("*"), F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()
@@ -577,7 +596,7 @@ def _verified(docs: DataFrame, n: int, threshold: float, pairs: bool) -> tuple[D
             for i, (wanted, cells_, many) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))):
                 own = int(keys[i].astype(np.int64))
                 if own == wanted:  # a doc_id may stand for several texts
-                    raw = tokens[ends[i] - sizes[i] : ends[i]].astype("<u8").tobytes()
+                    raw = np.ascontiguousarray(tokens[ends[i] - sizes[i] : ends[i]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                     for c in cells_:
                         cell.append(c), key.append(own), copies.append(many), packed.append(raw)
             if cell:
@@ -604,7 +623,9 @@ def _verified(docs: DataFrame, n: int, threshold: float, pairs: bool) -> tuple[D
                     now, held, root, links = cell, {}, {}, {}
                 if b is None:
                     if a not in held:
-                        held[a] = np.frombuffer(tokens, "<u8"), copies
+                        wide = np.zeros((len(tokens) // 6, 8), np.uint8)
+                        wide[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
+                        held[a] = wide.view(">u8").ravel().astype(np.uint64), copies
                         root[a] = a
                     continue
                 (x, nx), (y, ny) = held[a], held[b]
@@ -625,7 +646,7 @@ def _verified(docs: DataFrame, n: int, threshold: float, pairs: bool) -> tuple[D
             yield emit([(k, None, float(v)) for k, v in links.items()])
 
     texts = joined(base, source, 96 * rows + 8 * cells, "_doc", "inner").select("text", "key", "cells", "copies").mapInArrow(cut, "cell bigint, a bigint, b bigint, copies bigint, tokens binary")
-    wanted = placed.select("cell", "a", "b", F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("binary").alias("tokens"))
+    wanted = placed.where("b is not null").select("cell", "a", "b", F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("binary").alias("tokens"))
     found = written(texts.union(wanted).repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first()).mapInArrow(verify, "a bigint, b bigint, x double"), "links")
     drop(placed, source)
     return sets, found

@@ -104,9 +104,9 @@ def test_matrix_counts_like_pairs():
     flag, many = rng.integers(0, 2, 60).astype(np.uint8), np.array([len(x) for x in lists])
     at = np.concatenate(lists)
     quick = [np.concatenate(x) for x in zip(*jaccard._counted(flag, many, np.zeros(60, np.int64), ids[at], size[at], 0.55))]
-    slow = [(np.minimum(ids[at][i], ids[at][j]), np.maximum(ids[at][i], ids[at][j]), np.ones(len(i), np.int64), jaccard.shares(size[at][i], size[at][j], 0.55)) for i, j in jaccard._pairs_of(np.repeat(2 * np.arange(60) + flag, many), ids[at], size[at], 0.55)]
+    slow = [(np.minimum(ids[at][i], ids[at][j]), np.maximum(ids[at][i], ids[at][j]), np.ones(len(i), np.int64), jaccard.shares(size[at][i], size[at][j], 0.55), np.zeros(len(i), np.uint64)) for i, j in jaccard._pairs_of(np.repeat(2 * np.arange(60) + flag, many), ids[at], size[at], 0.55)]
     slow = jaccard._summed(*map(np.concatenate, zip(*slow)))
-    assert len(slow[0]) and all((x == y).all() for x, y in zip(jaccard._summed(*quick), slow))
+    assert len(slow[0]) and all((x == y).all() for x, y in zip(jaccard._summed(*quick, np.zeros(len(quick[0]), np.uint64)), slow))
 
 
 @pytest.mark.parametrize("frequent", [0, 3, 1 << 40])
