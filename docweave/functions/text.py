@@ -11,18 +11,24 @@ from pyspark.sql import functions as F
 RUN = r"[\p{L}\p{Nd}]+"
 WORD = r"[\p{L}\p{Nd}][\p{L}\p{Nd}._/+@-]*"
 JOINERS = "._/+@-"
+JOINED = r"[\p{L}\p{Nd}][._/+@-]+[\p{L}\p{Nd}]"
 
 
 def occurrences(text: Column) -> Column:
-    """array<struct<run, whole>>: each run in its place, which is its position; the first run of a compound carries the whole compound."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """array<struct<run, whole>>: each run in its place, which is its position; the first run of a compound carries the whole compound.
+
+    Few texts have compounds; the others are a single pass over their runs.
+    """
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
     def of(word: Column) -> Column:
         runs = F.regexp_extract_all(word, F.lit(RUN), F.lit(0))
         whole = F.when(F.size(runs) > 1, F.regexp_replace(word, F.lit(f"[{JOINERS}]+$"), F.lit("")))
-        return F.transform(runs, lambda r, i: F.struct(r.alias("run"), F.when(i == 0, whole).alias("whole")))
+        return F.when(word.rlike(f"[{JOINERS}]"), F.transform(runs, lambda r, i: F.struct(r.alias("run"), F.when(i == 0, whole).alias("whole")))).otherwise(F.array(F.struct(word.alias("run"), F.lit(None).cast("string").alias("whole"))))
 
-    return F.flatten(F.transform(words, of))
+    plain = F.transform(F.regexp_extract_all(low, F.lit(RUN), F.lit(0)), lambda r: F.struct(r.alias("run"), F.lit(None).cast("string").alias("whole")))
+    return F.when(low.rlike(JOINED), F.flatten(F.transform(words, of))).otherwise(plain)
 
 
 def _letter(c: str) -> bool:

@@ -19,15 +19,16 @@ class Conflict(ValueError):
 
 
 def last_of_each(batch: DataFrame, key: str, order: str | None) -> DataFrame:
-    """The row of each key that comes last by order; without an order, keys must be unique already."""
-    if order is None:
-        return batch
-    w = Window.partitionBy(f"`{key}`").orderBy(F.col(f"`{order}`").desc())
-    return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The row of each key that comes last by order; without an order, the last as the rows stand in the batch. Of equal ones, that too."""
+    names = [f"`{c}`" for c in batch.columns]
+    place = F.struct(*([F.col(f"`{order}`")] if order is not None else []), F.monotonically_increasing_id())
+    w = Window.partitionBy("_all." + f"`{key}`").orderBy(F.desc("_place"))
+    return batch.select(F.struct(*names).alias("_all"), place.alias("_place")).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("_all.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    new = last_of_each(new, key, order)
+    if order is not None:  # else keys are unique
+        new = last_of_each(new, key, order)
     if order is not None and order not in old.columns:
         new = new.drop(order)
     return old.join(new.select(key), key, "left_anti").unionByName(new)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.plans.filters import Query, parse
-from docweave.plans.predicates import column, resolve
+from docweave.plans.predicates import Json, column, resolve
 
 
 def as_query(query: str | Query | None) -> Query:
@@ -21,11 +21,13 @@ def where(df: DataFrame, query: str | Query) -> DataFrame:
 
 
 def ordering(schema: T.StructType, sort: list[tuple[str, bool]], key: str | None) -> list[Column]:
-    """Nulls come first in ascending order; unknown fields don't order; the key settles ties."""
+    """Nulls come first in ascending order, and of values out of JSON text, texts before numbers; unknown fields don't order; the key settles ties."""
     out = []
     for name, down in sort:
         if (found := resolve(schema, name)) is not None and not isinstance(found[1], T.MapType):
-            out.append(found[0].desc_nulls_last() if down else found[0].asc_nulls_first())
+            c, kind = found
+            for x in (c.try_cast("double"), c) if isinstance(kind, Json) else (c,):
+                out.append(x.desc_nulls_last() if down else x.asc_nulls_first())
     return [*out, F.col(f"`{key}`")] if out and key else out
 
 

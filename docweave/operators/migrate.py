@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.operators.change import embed
 from docweave.schema import SchemaError
 
 Step = Callable[[DataFrame], DataFrame]
@@ -36,14 +37,15 @@ def _vector(schema: T.StructType) -> dict:
     return {f.name: f.metadata["vector"] for f in schema if "vector" in f.metadata}
 
 
-def migrated(df: DataFrame, old: T.StructType, new: T.StructType, have: int, want: int, steps: dict[int, tuple[int, Step]] | None) -> DataFrame:
-    """One lazy plan: all steps in a row, then the shape of the new schema. Without steps, only fields and flags may change; a vector's dimension needs a step."""
-    if not steps:
-        for name, v in _vector(new).items():
-            before = _vector(old).get(name)
-            if before and v["dim"] and before["dim"] and v["dim"] != before["dim"]:
-                raise SchemaError(f"vectors of {name} must be made anew for {v['dim']} components")
-        return reshaped(df, new)
-    for step in path(have, want, steps):
+def migrated(df: DataFrame, old: T.StructType, new: T.StructType, have: int, want: int, steps: dict[int, tuple[int, Step]] | None, embedder=None) -> DataFrame:
+    """One lazy plan: all steps in a row, then the shape of the new schema. Without steps, only fields and flags may change; a vector's dimension needs a step or an embedder, which makes all vectors anew."""
+    other = [n for n, v in _vector(new).items() if (b := _vector(old).get(n)) and v["dim"] and b["dim"] and v["dim"] != b["dim"]]
+    if not steps and other and embedder is None:
+        raise SchemaError(f"vectors of {other[0]} must be made anew for {_vector(new)[other[0]]['dim']} components")
+    for step in path(have, want, steps) if steps else []:
         df = step(df)
-    return reshaped(df, new)
+    df = reshaped(df, new)
+    for name in other if embedder is not None else []:
+        fits = F.size(F.col(f"`{name}`")) == _vector(new)[name]["dim"]
+        df = embed(df.withColumn(name, F.when(fits, F.col(f"`{name}`"))), name, embedder)
+    return df

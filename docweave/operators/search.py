@@ -1,15 +1,17 @@
 """BM25 ranking over an inverted index of three DataFrames.
 
-postings (key, field, term, tf, positions), lengths (key, len) and stats (doc_count, sum_len): stats is a frame of one row, so that a
-filter on documents never changes the weights of terms. One pass over the postings serves all clauses of a query.
+postings (key, field, term, tf, positions, len), lengths (key, len) and stats (doc_count, sum_len): stats is a frame of one row, so that a
+filter on documents never changes the weights of terms. A posting carries the length of its document, so that a query reads the postings of its terms
+and nothing else. One pass over them serves all clauses of a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from docweave.functions.text import occurrences
@@ -32,10 +34,11 @@ class TextIndex:
     stats: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings are sorted by term, so that reading some terms skips most row groups."""
+        """Postings are sorted by term, so that reading some terms skips most row groups. Texts are split into terms once; the rest is read from what was written."""
+        spark = self.postings.sparkSession
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        spark.read.parquet(f"{path}/postings").groupBy("key").agg(F.max("len").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+        _stats(spark.read.parquet(f"{path}/lengths")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def read(spark, path: str, key: str) -> TextIndex:
@@ -45,43 +48,56 @@ class TextIndex:
         return replace(self, postings=self.postings.cache(), lengths=self.lengths.cache(), stats=self.stats.cache())
 
     def without(self, keys: DataFrame, added: TextIndex) -> TextIndex:
-        """The index after the documents of keys (key) were replaced by those of added."""
+        """The index after the documents of keys (key) were replaced by those of added. Only they are split into terms again."""
         postings = self.postings.join(keys, "key", "left_anti").unionByName(added.postings)
-        return from_postings(self.key, postings)
+        lengths = self.lengths.join(keys, "key", "left_anti").unionByName(added.lengths)
+        return TextIndex(self.key, postings, lengths, _stats(lengths))
 
 
-def _stacked(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, text) of the texts that aren't empty."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields])
-    return df.select(F.col(f"`{key}`").alias("key"), F.explode(each).alias("f")).select("key", "f.field", "f.text").where("text is not null and text <> ''")
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("doc_count"), F.coalesce(F.sum("len"), F.lit(0)).alias("sum_len"))
 
 
-def tokens(df: DataFrame, key: str, fields: list[str], tokenizer=None) -> DataFrame:
-    """(key, field, term, pos). tokenizer: a function from a text Column to array<struct<term, pos>>, in place of the own rules."""
+def _split(df: DataFrame, key: str, fields: list[str], tokenizer=None) -> DataFrame:
+    """(key, len, fs): the occurrences of each field of each document, and how many terms they are. tokenizer: a function from a text Column to array<struct<term, pos>>, in place of the own rules."""
     if not fields:
         raise NoTextFields("no field is marked for text search")
-    stacked = _stacked(df, key, fields)
+
+    def of(f: str) -> Column:
+        text = F.coalesce(F.col(f"`{f}`").cast("string"), F.lit(""))
+        return F.struct(F.lit(f).alias("field"), (tokenizer or occurrences)(text).alias("t"))
+
+    many = (lambda t: F.size(t)) if tokenizer else (lambda t: F.size(t) + F.size(F.filter(t, lambda x: x["whole"].isNotNull())))
+    size = F.aggregate("fs", F.lit(0).cast("bigint"), lambda total, f: total + many(f["t"]))
+    return df.select(F.col(f"`{key}`").alias("key"), F.array(*map(of, fields)).alias("fs")).select("key", size.alias("len"), "fs")
+
+
+def _terms(split: DataFrame, tokenizer=None) -> DataFrame:
+    """(key, len, field, term, pos)."""
+    each = split.select("key", "len", F.explode("fs").alias("f")).select("key", "len", "f.field", F.posexplode("f.t").alias("pos", "t"))
     if tokenizer is not None:
-        return stacked.select("key", "field", F.explode(tokenizer(F.col("text"))).alias("t")).select("key", "field", "t.term", "t.pos")
-    runs = stacked.select("key", "field", F.posexplode(occurrences(F.col("text"))).alias("pos", "t"))
+        return each.select("key", "len", "field", "t.term", "t.pos")
     both = F.when(F.col("t.whole").isNull(), F.array("t.run")).otherwise(F.array("t.run", "t.whole"))
-    return runs.select("key", "field", F.explode(both).alias("term"), "pos")
+    return each.select("key", "len", "field", F.explode(both).alias("term"), "pos")
 
 
-def from_postings(key: str, postings: DataFrame, lengths: DataFrame | None = None) -> TextIndex:
-    if lengths is None:
-        lengths = postings.groupBy("key").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("doc_count"), F.coalesce(F.sum("len"), F.lit(0)).alias("sum_len"))
-    return TextIndex(key, postings, lengths, stats)
+def tokens(df: DataFrame, key: str, fields: list[str], tokenizer=None) -> DataFrame:
+    """(key, field, term, pos)."""
+    return _terms(_split(df, key, fields, tokenizer), tokenizer).drop("len")
 
 
 def build(df: DataFrame, key: str, fields: list[str], tokenizer=None) -> TextIndex:
-    found = tokens(df, key, fields, tokenizer)
-    # lengths don't wait for the postings: a query's filter on terms then reaches below their aggregation, and only its terms are shuffled
-    own = tokenizer(F.col("text")) if tokenizer is not None else occurrences(F.col("text"))
-    size = F.size("t") if tokenizer is not None else F.size("t") + F.size(F.filter("t", lambda x: x["whole"].isNotNull()))
-    lengths = _stacked(df, key, fields).select("key", own.alias("t")).groupBy("key").agg(F.sum(size).alias("len")).where("len > 0")
-    return from_postings(key, found.groupBy("key", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")), lengths)
+    """The index of df, whose keys are unique, not computed yet. Texts move once, by key, and are split once for the postings."""
+    split = _split(df.select(*dict.fromkeys([f"`{key}`", *[f"`{f}`" for f in fields]])).repartition(F.col(f"`{key}`")), key, fields, tokenizer)
+    postings = _terms(split, tokenizer).groupBy("key", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
+    lengths = split.where("len > 0").groupBy("key").agg(F.max("len").alias("len"))
+    return TextIndex(key, postings, lengths, _stats(lengths))
+
+
+def persisted(df: DataFrame, key: str, fields: list[str], path: str, tokenizer=None) -> TextIndex:
+    """The index of df, written to a folder and read from it; queries then read only their terms."""
+    build(df, key, fields, tokenizer).write(path)
+    return TextIndex.read(df.sparkSession, path, key)
 
 
 def document_frequency(index: TextIndex) -> DataFrame:
@@ -110,8 +126,9 @@ def _matches(index: TextIndex, clauses: list[Clause]) -> DataFrame:
     if simple:
         # a document has a term once a field: the sum over fields; of a prefix's terms the best counts
         of = F.array_compact(F.array(*[F.when(_wanted(c), F.struct(F.lit(i).alias("clause"), F.lit(c.kind == "prefix").alias("prefix"))) for i, c in simple]))
-        rows = index.postings.where(reduce(Column.__or__, [_wanted(c) for _, c in simple])).select("key", "tf", F.explode(of).alias("c")).select("key", "tf", "c.clause", "c.prefix")
-        rows = rows.join(index.lengths, "key").crossJoin(F.broadcast(stats))
+        rows = index.postings.where(reduce(Column.__or__, [_wanted(c) for _, c in simple])).select("key", "tf", "len", F.explode(of).alias("c")).select("key", "tf", "len", "c.clause", "c.prefix")
+        # by key once: what follows, up to the sum of a document's clauses, stays where it is
+        rows = rows.repartition("key").crossJoin(F.broadcast(stats))
         scored = rows.groupBy("clause", "prefix", "key").agg(F.sum(_norm(F.col("tf"))).alias("total"), F.max(_norm(F.lit(1))).alias("best"))
         df = scored.groupBy("clause").agg(F.count(F.lit(1)).alias("df"))
         scored = scored.join(F.broadcast(df), "clause").crossJoin(F.broadcast(stats))  # a row for each clause of the query
@@ -120,12 +137,12 @@ def _matches(index: TextIndex, clauses: list[Clause]) -> DataFrame:
         if c.kind != "phrase":
             continue
         words = list(dict.fromkeys(c.words))
-        places = index.postings.where(_wanted(c)).groupBy("key", "field").agg(*[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{k}") for k, w in enumerate(words)])
+        places = index.postings.where(_wanted(c)).groupBy("key", "field").agg(F.max("len").alias("len"), *[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{k}") for k, w in enumerate(words)])
         at = [F.col(f"p{words.index(w)}") for w in c.words]
         # positions where the phrase starts, narrowed word by word
         starts = reduce(lambda s, k: F.array_intersect(s, F.transform(at[k], lambda x: x - k)), range(1, len(at)), at[0])
         first = index.postings.where(F.col("term") == c.words[0]).groupBy("field").agg(F.count(F.lit(1)).alias("df"))
-        found = places.where(F.size(starts) > 0).join(F.broadcast(first), "field").join(index.lengths, "key").crossJoin(F.broadcast(stats))
+        found = places.where(F.size(starts) > 0).join(F.broadcast(first), "field").crossJoin(F.broadcast(stats))
         frames.append(found.groupBy("key").agg(F.max(_idf(F.col("df")) * _norm(F.lit(len(c.words)))).alias("score")).select(F.lit(i).alias("clause"), "key", "score"))
     return reduce(DataFrame.unionByName, frames)
 
@@ -184,3 +201,8 @@ def totals(index: TextIndex, query: str, docs: DataFrame, filter=None, key_filte
         hits = hits.join(kept, "key", "left")
         fine = fine & F.coalesce("_fits", F.lit(False))
     return hits.agg(F.count(F.lit(1)).alias("total"), F.count_if(fine).alias("matched"))
+
+
+def walk(index: TextIndex, query: str, docs: DataFrame | None = None, filter=None, key_filter: Column | None = None) -> Iterator[Row]:
+    """All hits one after the other, a partition at a time, best first; stopping early leaves the rest unread."""
+    yield from search(index, query, docs, 0, 0, filter, key_filter).toLocalIterator()

@@ -27,6 +27,12 @@ class Stale(RuntimeError):
     """The handle is older than the tables' schema or contents."""
 
 
+#: Versions after which the log is summed up, and changes of a table after which it is written whole.
+CHECKPOINT, COMPACT_AFTER = 20, 16
+#: Layers of a text index before it is written whole.
+LAYERS = 8
+
+
 class Busy(RuntimeError):
     """Another writer committed first."""
 
@@ -38,8 +44,10 @@ class ReadOnly(RuntimeError):
 class State:
     """What the log says up to a version."""
 
-    def __init__(self, entries: list[dict]):
+    def __init__(self, entries: list[dict], before: dict | None = None):
         self.version, self.epoch, self.tables, self.batches = 0, 0, {}, {}
+        if before:
+            self.version, self.epoch, self.tables, self.batches = before["version"], before["epoch"], before["tables"], before["batches"]
         for e in entries:
             self.version = e["version"]
             self.epoch += e.get("epoch", 0)
@@ -55,30 +63,50 @@ class State:
                     t["changes"].append((e["version"], a["change"]))
             self.batches |= e.get("batches", {})
 
+    def paths(self) -> set[str]:
+        return {p for t in self.tables.values() for p in [t["base"], *[c for _, c in t["changes"]]] if p}
+
 
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
 
     # the log
-    def entries(self, until: int | None = None) -> list[dict]:
-        names = [n for n in self.files.names("_log") if n.endswith(".json")]
-        out = [json.loads(self.files.read(f"_log/{n}")) for n in names if until is None or int(n[:-5]) <= until]
-        return out
+    def _numbers(self, ending: str = ".json") -> list[int]:
+        return [int(n[: -len(ending)]) for n in self.files.names("_log") if n.endswith(ending)]
+
+    def entries(self, until: int | None = None, since: int = 0) -> list[dict]:
+        return [json.loads(self.files.read(f"_log/{n:012d}.json")) for n in self._numbers() if n > since and (until is None or n <= until)]
 
     def state(self, until: int | None = None) -> State:
-        return State(self.entries(until))
+        """What holds at a version: the last checkpoint of the log before it, and the entries since."""
+        marks = [n for n in self._numbers(".state") if until is None or n <= until]
+        before = json.loads(self.files.read(f"_log/{marks[-1]:012d}.state")) if marks else None
+        return State(self.entries(until, marks[-1] if marks else 0), before)
 
     def version(self) -> int:
-        names = [n for n in self.files.names("_log") if n.endswith(".json")]
-        return int(names[-1][:-5]) if names else 0
+        return max(self._numbers(), default=0)
 
     def commit(self, base: int, actions: list[dict], **more) -> int:
         n = base + 1
         if not self.files.create(f"_log/{n:012d}.json", json.dumps({"version": n, "time": time.time(), "actions": actions} | more)):
             raise Busy(f"version {n} was written by another")
+        if n % CHECKPOINT == 0:
+            s = self.state(n)
+            self.files.create(f"_log/{n:012d}.state", json.dumps({"version": s.version, "epoch": s.epoch, "tables": s.tables, "batches": s.batches}))
         return n
 
+    def vacuum(self, keep: int = 1, hours: float = 24.0) -> int:
+        """Removes what none of the last keep versions reads, and no writer has touched for hours; older versions can't be read any more. How many folders went."""
+        numbers = self._numbers()
+        live = set()
+        for n in numbers[-max(keep, 1) :]:
+            live |= self.state(n).paths()
+        gone = [x for x in (f"data/{n}" for n in self.files.names("data")) if x not in live and time.time() - self.files.modified(x) >= 3600 * hours]
+        for x in gone:
+            self.files.remove(x)
+        return len(gone)
+
     def save(self, df: DataFrame) -> str:
         name = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}")
@@ -108,8 +136,10 @@ class Catalog:
         return sorted(n for n, t in self.state().tables.items() if t["meta"])
 
     # tables
-    def register(self, name: str, spec: Spec, version: int = 0, steps: dict[int, tuple[int, Callable[[DataFrame], DataFrame]]] | None = None, key: Column | None = None, progress: Callable[[int, int], None] | None = None) -> Table:
-        """A handle of the table, which is made or migrated if need be. steps: from a schema version to the next with what it does to the rows. key: derives the key column, for schemas without one."""
+    def register(self, name: str, spec: Spec, version: int = 0, steps: dict[int, tuple[int, Callable[[DataFrame], DataFrame]]] | None = None, key: Column | None = None, progress: Callable[[int, int], None] | None = None, embedder=None) -> Table:
+        """A handle of the table, which is made or migrated if need be. steps: from a schema version to the next with what it does to the rows. key: derives the key column, for schemas without one.
+
+        progress: called with (0, rows) before a migration and (rows, rows) once it is committed. embedder: a Column, or a function from rows to one, that makes missing vectors; with it, a migration to another dimension makes all vectors anew."""
         from docweave.operators.migrate import migrated
 
         state = self.state()
@@ -125,14 +155,18 @@ class Catalog:
             old = there["meta"]
             if version <= old["schema_version"]:
                 raise SchemaError(f"{name} has another schema at version {old['schema_version']}; a migration needs a higher version than {version}")
-            rows = migrated(self.read(name, state=state), T.StructType.fromJson(old["schema"]), schema, old["schema_version"], version, steps)
+            rows = self.read(name, state=state)
+            if progress:
+                total = rows.count()
+                progress(0, total)
+            rows = migrated(rows, T.StructType.fromJson(old["schema"]), schema, old["schema_version"], version, steps, embedder)
             saved = self.save(rows.repartition(F.col(f"`{own}`")))
             stored = self.load(saved, schema)
             self.check(Spec(schema), stored, stored)
             self.commit(state.version, [{"table": name, "meta": meta, "base": saved}], epoch=1)
             if progress:
-                progress(old["schema_version"], version)
-        return Table(self, name, Spec(schema), self.state().epoch, key)
+                progress(total, total)
+        return Table(self, name, Spec(schema), self.state().epoch, key, embedder)
 
     def check(self, spec: Spec, news: DataFrame, whole: DataFrame) -> None:
         """Raises where keys are null or repeat, or unique values or vectors of news don't fit whole."""
@@ -308,12 +342,19 @@ class Transaction:
         version = c.commit(self.state.version, actions, batches=self.batches) if actions or self.batches else self.state.version
         for call in self.after:
             call()
+        for name in self.staged:
+            if len(self.state.tables[name]["changes"]) + 1 >= COMPACT_AFTER:
+                try:
+                    c.compact(name)
+                except Busy:  # another writer is first; the next commit tries again
+                    pass
         return version
 
 
 class Table:
     def __init__(self, catalog: Catalog, name: str, spec: Spec, epoch: int, key: Column | None = None, embedder=None):
         self.catalog, self.name, self.spec, self.epoch, self.derive, self.embedder = catalog, name, spec, epoch, key, embedder
+        self.tokenizer = None
         self._index: tuple[int, search.TextIndex] | None = None
 
     def current(self, state: State | None = None) -> State:
@@ -356,18 +397,64 @@ class Table:
     def get(self, key) -> Row:
         return find.get(self._shown(self.df()), self.spec.key, key)
 
+    def _touched(self, since: int, now: State) -> DataFrame | None:
+        """The keys that changes after a version wrote or deleted; None if the table was written whole since."""
+        for e in self.catalog.entries(now.version, since):
+            if e.get("reset") or e.get("epoch"):
+                return None
+        changes = [(v, p) for v, p in now.tables[self.name]["changes"] if v > since]
+        written = [a["change"] for e in self.catalog.entries(now.version, since) for a in e["actions"] if a["table"] == self.name and a.get("change")]
+        if len(written) != len(changes):  # compacted since: the rows are the same, but what changed is read from the log
+            changes = [(0, p) for p in written]
+        marked = T.StructType([*self.spec.schema, T.StructField("_deleted", T.BooleanType())])
+        frames = [self.catalog.load(p, marked).select(F.col(f"`{self.spec.key}`").alias("key")) for _, p in changes]
+        return reduce(DataFrame.unionByName, frames).distinct() if frames else self.catalog.spark.createDataFrame([], T.StructType([T.StructField("key", self.spec.schema[self.spec.key].dataType)]))
+
     def index(self) -> search.TextIndex:
-        """The inverted index of the current version; it is built once a version."""
-        version = self.current().version
-        if self._index is None or self._index[0] != version:
-            if not self.spec.texts:
-                raise search.NoTextFields(f"{self.name} has no field for text search")
-            self._index = (version, search.build(self.df(), self.spec.key, self.spec.texts).cached())
+        """The inverted index of the current version, kept in the catalog's folder. A new version adds a layer with the documents that changed; only they are split into terms."""
+        now = self.current()
+        if not self.spec.texts:
+            raise search.NoTextFields(f"{self.name} has no field for text search")
+        if self._index is not None and self._index[0] == now.version:
+            return self._index[1]
+        files, folder = self.catalog.files, f"_index/{self.name}/{self.spec.fingerprint()}"
+        made = [int(n[:-5]) for n in files.names(folder) if n.endswith(".json") and int(n[:-5]) <= now.version]
+        layers, keys = [], None
+        if made:
+            layers = json.loads(files.read(f"{folder}/{made[-1]:012d}.json"))
+            keys = self._touched(made[-1], now) if made[-1] < now.version else None
+        if not made or made[-1] < now.version:
+            rows = self.catalog.read(self.name, state=now)
+            path = f"{folder}/{uuid.uuid4().hex}"
+            root = f"{self.catalog.root}/{path}"
+            if not made or keys is None or len(layers) >= LAYERS:
+                search.build(rows, self.spec.key, self.spec.texts, self.tokenizer).write(root)
+                layers = [{"path": path, "keys": False}]
+            else:
+                keys.write.parquet(f"{root}/keys")
+                keys = self.catalog.spark.read.parquet(f"{root}/keys")
+                news = rows.join(keys.withColumnRenamed("key", self.spec.key), self.spec.key, "left_semi")
+                search.build(news, self.spec.key, self.spec.texts, self.tokenizer).write(root)
+                layers = [*layers, {"path": path, "keys": True}]
+            files.create(f"{folder}/{now.version:012d}.json", json.dumps(layers))
+        self._index = (now.version, self._layered(layers))
         return self._index[1]
 
+    def _layered(self, layers: list[dict]) -> search.TextIndex:
+        out = None
+        for x in layers:
+            root = f"{self.catalog.root}/{x['path']}"
+            own = search.TextIndex.read(self.catalog.spark, root, self.spec.key)
+            out = own if out is None else out.without(self.catalog.spark.read.parquet(f"{root}/keys"), own)
+        return out
+
     def search(self, query: str, limit: int = 10, offset: int = 0, filter=None, key_filter: Column | None = None) -> DataFrame:
         return search.search(self.index(), query, self._shown(self.df()), limit, offset, filter, key_filter)
 
+    def search_walk(self, query: str, filter=None, key_filter: Column | None = None) -> Iterator[Row]:
+        """All hits, best first; stopping early leaves the rest unread."""
+        yield from search.walk(self.index(), query, self._shown(self.df()), filter, key_filter)
+
     def totals(self, query: str, filter=None, key_filter: Column | None = None) -> Row:
         return search.totals(self.index(), query, self.df(), filter, key_filter).first()
 

@@ -38,8 +38,11 @@ def follow(stream: DataFrame, table: Table, name: str, checkpoint: str, order: s
     def run(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            if apply_batch(table, name, batch, number, order, deleted) and after:
-                after(number)
+            if apply_batch(table, name, batch, number, order, deleted):
+                if table.spec.texts:
+                    table.index()  # a layer with what the batch changed
+                if after:
+                    after(number)
         finally:
             batch.unpersist()
 

@@ -11,6 +11,7 @@ from docweave.operators import change, find, migrate, nearest, search
 from docweave.plans import textquery
 from docweave.plans.filters import Every, FilterError, Some, parse
 from docweave.schema import SchemaError, Spec, field, tagged
+from docweave.sources import store
 from docweave.sources.store import Busy, Catalog, Conflict, ReadOnly, Stale
 from docweave.streaming.maintain import apply_batch, follow
 
@@ -396,3 +397,96 @@ def test_streams(spark, catalog, users, tmp_path):
 def test_changes(spark, users):
     assert change.embed(spark.createDataFrame([(1, None)], "id int, v array<float>"), "v", lambda d: F.array(F.lit(1.0).cast("float"))).first()["v"] == [1.0]
     assert change.find_and_update(users, "", lambda d: d.where("false"), "id").count() == 5
+
+
+def test_two_writers(spark, catalog, users):
+    """Of writers that commit the same version at once, one succeeds, and nothing of the others is read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = catalog.register("users", USER)
+    t.insert(users)
+    base = catalog.version()
+
+    def write(k):
+        try:
+            return catalog.commit(base, [{"table": "users", "change": f"data/none{k}"}])
+        except Busy:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(write, range(8)))
+    assert [x for x in done if x is not None] == [base + 1] and catalog.version() == base + 1
+    assert len(catalog.state().tables["users"]["changes"]) == 2
+
+
+def test_many_versions(spark, catalog, users, monkeypatch):
+    """The log is summed up, tables are written whole after some changes, and what nothing reads any more can go."""
+    monkeypatch.setattr(store, "CHECKPOINT", 4)
+    monkeypatch.setattr(store, "COMPACT_AFTER", 3)
+    t = catalog.register("users", USER)
+    t.insert(users)
+    first = catalog.version()
+    for k in range(6):
+        t.insert(users.where("id = 'u1'").withColumn("age", F.lit(k).cast("bigint")))
+        assert t.get("u1")["age"] == k and t.count() == 5
+    state = catalog.state()
+    assert len(state.tables["users"]["changes"]) < 3 and any(n.endswith(".state") for n in catalog.files.names("_log"))
+    assert catalog.read("users", first).where("id = 'u1'").first()["age"] == users.where("id = 'u1'").first()["age"]
+    before = len(catalog.files.names("data"))
+    assert catalog.vacuum(1, 24) == 0 and 0 < catalog.vacuum(1, 0) < before
+    assert t.get("u1")["age"] == 5 and t.count() == 5 and {r["id"] for r in Catalog(spark, catalog.root).read("users").collect()} == {f"u{i}" for i in range(1, 6)}
+
+
+def test_index_follows_changes(spark, catalog, monkeypatch):
+    monkeypatch.setattr(store, "LAYERS", 3)
+    spec = Spec(T.StructType([field("id", "string", pk=True), field("low", "string", fts=True), field("title", "string", fts=True)]))
+    t = catalog.register("notes", spec)
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, low string, title string")
+    built = []
+    monkeypatch.setattr(search, "build", lambda df, *a, build=search.build: built.append(df.count()) or build(df, *a))
+    t.insert(rows(*[(str(i), f"word{i} same", None) for i in range(9)]))
+    assert ids(t.search("same", 0)) == [str(i) for i in range(9)] and built == [9]
+    t.insert(rows(("3", "other", "titled"), ("new", "same", "same")))
+    t.delete(rows(("5", None, None)).select("id"))
+    assert ids(t.search("same", 0)) == sorted([*"012467", "8", "new"]) and ids(t.search("other OR titled")) == ["3"] and built == [9, 2]
+    whole = {r["key"]: r["score"] for r in search.search(search.build(t.df(), "id", ["low", "title"]), "same", limit=0, digits=9).collect()}
+    assert {r["key"]: r["score"] for r in search.search(t.index(), "same", limit=0, digits=9).collect()} == whole
+    for k in range(3):
+        t.insert(rows((f"more{k}", "same", None)))
+        assert f"more{k}" in ids(t.search("same", 0))
+    assert max(built[3:]) == 11  # after LAYERS layers it is written whole
+    again = Catalog(spark, catalog.root).register("notes", spec)
+    many = len(built)
+    assert len(ids(again.search("same", 0))) == 11 and len(built) == many  # another session reads what is there
+    hits = again.search_walk("same")
+    assert next(hits)["id"] and sum(1 for _ in hits) == 10
+
+
+def test_repeated_keys_and_embedders(spark, catalog):
+    spec = lambda dim: Spec(T.StructType([field("id", "string", pk=True), field("v", "array<float>", vector={"dim": dim, "metric": "cosine", "inline": True})]))
+    one = F.array(F.length("id").cast("float"))
+    seen = []
+    t = catalog.register("vecs", spec(1), 1, embedder=one)
+    t.insert(spark.createDataFrame([("a", None), ("bb", [9.0]), ("a", [5.0])], "id string, v array<float>").coalesce(1))
+    assert list(t.get("a")["v"]) == [5.0] and t.count() == 2  # the later row of a key counts
+    t.insert(spark.createDataFrame([("ccc", [])], "id string, v array<float>"))
+    assert list(t.get("ccc")["v"]) == [3.0] and list(t.get("bb")["v"]) == [9.0]
+    with pytest.raises(SchemaError):
+        catalog.register("vecs", spec(2), 2)
+    two = F.array(F.length("id").cast("float"), F.lit(1.0).cast("float"))
+    t = catalog.register("vecs", spec(2), 2, embedder=two, progress=lambda done, total: seen.append((done, total)))
+    assert list(t.get("bb")["v"]) == [2.0, 1.0] and seen == [(0, 3), (3, 3)]
+
+
+def test_cancelled_search(spark):
+    import threading
+    import time
+
+    from docweave.operators.cancel import cancel, cancellable
+
+    slow = F.pandas_udf(lambda s: (time.sleep(60), s)[1], "bigint")
+    threading.Timer(2.0, lambda: cancel(spark, "mine")).start()
+    began = time.time()
+    with pytest.raises(Exception, match="cancel"), cancellable(spark, "mine"):
+        spark.range(4).select(slow("id")).collect()
+    assert time.time() - began < 40 and spark.range(3).count() == 3
