@@ -1,13 +1,16 @@
 """Operator 5: substring dedup with suffix automata of reference shards.
 
-Words are runs of non-space characters. Of every GAP consecutive windows of LENGTH words, the one with the least hash is
-sampled, so copies of a passage of LENGTH + GAP - 1 words always share a sampled window. Where a sampled window occurs more than
-once, the passage around its first occurrence, by (doc_id, place), becomes reference text. Reference text is split into shards
-of bounded size, kept together by the earliest document it leads to, and every shard becomes a suffix automaton over words whose
-states know their earliest end. Documents with a sampled window of a shard stream through its automaton: where the matching
-statistics reach LENGTH and the window's earliest occurrence is not here, it goes; what goes of a document is a set of maximal
-spans. What stays has no passage of LENGTH + GAP - 1 words twice, and each removed word stays where its passage came first.
+Words are runs of non-space characters. A window of LENGTH words that occurs more than once, in any documents or places, stays only where it
+occurs first, by (doc_id, place); what goes of a document is the union of its other windows, as maximal spans, and nothing else goes.
 
+Candidates are found by samples: of every GAP consecutive windows of LENGTH - GAP + 1 words, the one with the least hash is sampled, so each window of LENGTH
+words holds a sampled one. Around the samples that occur more than once, the windows of LENGTH words are compared, and the first occurrences of
+those that repeat are the reference text. It is split into shards
+of bounded size, kept together by the earliest document they lead to, and every shard becomes a suffix automaton over words whose
+states know their earliest end. Documents that repeat a window of a shard stream through its automaton: where the matching
+statistics reach LENGTH and the window's earliest occurrence is not here, it goes.
+
+A sample that a task meets twice is known to repeat there, and goes on as one row, so that a passage of a third of all documents is no hot group.
 All automata are broadcast if the reference text is at most BROADCAST_WORDS words; else documents are sent to the shards that
 they share a window with. No shard and no task holds more than SHARD_WORDS words of reference.
 
@@ -26,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import WordHash, drop, fresh_name, joined, slices, windows, written
+from docweave.llm.common import WordHash, drop, fresh_name, joined, mix, slices, windows, written
 
-LENGTH, GAP = 44, 7
+LENGTH, GAP = 50, 7
+#: Sampled windows that a task sorts at once.
+LOT = 1_000_000
 SHARD_WORDS, BROADCAST_WORDS = 100_000, 20_000
 _WORD = re.compile(r"\S+")
 
@@ -147,49 +152,112 @@ def _words(texts: list, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
     return hashes.of([w for x in split for w in x]), np.cumsum([len(x) for x in split])
 
 
-def _copies(docs: DataFrame, length: int, gap: int) -> DataFrame:
-    """(doc, at, owner, owner_at) of each sampled window that isn't the first of its kind."""
+def _samples(docs: DataFrame, length: int, gap: int) -> DataFrame:
+    """(doc, at) of each sampled window of length words that occurs elsewhere too."""
 
     def sample(batches):
-        hashes = WordHash()
+        hashes, held, have = WordHash(), [], 0
+
+        def close():
+            nonlocal held, have
+            h, doc, at = (np.concatenate(x) for x in zip(*held))
+            held, have = [], 0
+            order = np.lexsort((at, doc, h))
+            h, doc, at = h[order], doc[order], at[order]
+            new = np.ones(len(h), bool)  # repeated rows are at one place
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+            h, doc, at = h[new], doc[new], at[new]
+            first = np.ones(len(h), bool)
+            first[1:] = h[1:] != h[:-1]
+            many = np.diff(np.append(np.flatnonzero(first), len(h)))
+            known = np.repeat(many > 1, many)
+            with np.errstate(over="ignore"):
+                place = mix(doc.view(np.uint64) * np.uint64(31) + at.astype(np.uint64))
+            for kind, rows, key in ((0, first, h), (1, known, place)):
+                for k in range(0, len(own := np.flatnonzero(rows)), 100_000):
+                    i = own[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int8)), pa.array(key[i].view(np.int64)), pa.array(doc[i]), pa.array(at[i].astype(np.int32))], names=["kind", "h", "doc", "at"])
+
         for part in slices(batches):
             h, ends = _words(part.column(1).to_pylist(), hashes)
             at = sampled(h, ends, length, gap)
             if len(at):
-                key = windows(h, length)[at]
                 owner = np.searchsorted(ends, at, "right")
-                start = np.concatenate([[0], ends[:-1]])[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(owner)), pa.array((at - start).astype(np.int32))], names=["h", "doc", "at"])
-
-    def pair(batches):
-        parts = list(batches)
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts)
-        h, doc, at = (rows.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((at, doc, h))
-        h, doc, at = h[order], doc[order], at[order]
-        fresh = np.concatenate([[True], h[1:] != h[:-1]])
-        first = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-        k = np.flatnonzero(~fresh)
-        for b in range(0, len(k), 100_000):
-            c = k[b : b + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[c], at[c], doc[first[c]], at[first[c]])], names=["doc", "at", "owner", "owner_at"])
-
-    windows_ = docs.select("_doc", "text").where("_doc is not null and text is not null").mapInArrow(sample, "h bigint, doc bigint, at int")
-    return windows_.repartition("h").mapInArrow(pair, "doc bigint, at int, owner bigint, owner_at int")
+                held.append((windows(h, length)[at], part.column(0).to_numpy()[owner], at - np.concatenate([[0], ends[:-1]])[owner]))
+                have += len(at)
+                if have > LOT:
+                    yield from close()
+        if held:
+            yield from close()
+
+    def repeated(batches):
+        """Of rows in the order of kind and h: those of kind 1, and runs of one h that has several places."""
+        last: tuple | None = None  # a row whose run hasn't shown a second place yet
+        run = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, h, doc, at = (batch.column(i).to_numpy() for i in range(4))
+            if last is not None:
+                kind, h, doc, at = (np.concatenate([[x], y]) for x, y in zip(last, (kind, h, doc, at)))
+            same = (kind[1:] == 0) & (kind[:-1] == 0) & (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+            keep = (kind == 1) | np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if run is not None:  # the run before it had several places
+                keep |= (kind == 0) & (h == run)
+            end = kind[-1] == 0 and not keep[-1]
+            last = (kind[-1], h[-1], doc[-1], at[-1]) if end else None
+            run = h[-1] if kind[-1] == 0 and keep[-1] else None
+            own = np.flatnonzero(keep)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[own].astype(np.int64)), pa.array(at[own].astype(np.int32))], names=["doc", "at"])
+
+    found = docs.select("_doc", "text").where("_doc is not null and text is not null").mapInArrow(sample, "kind tinyint, h bigint, doc bigint, at int")
+    return found.repartition("h").sortWithinPartitions("kind", "h", "doc", "at").mapInArrow(repeated, "doc bigint, at int")
+
+
+def _copies(docs: DataFrame, length: int, gap: int) -> DataFrame:
+    """(doc, at, owner, owner_at) of each window of length words that isn't the first of its kind."""
+    samples = written(_samples(docs, length - gap + 1, gap).groupBy("doc").agg(F.collect_set("at").alias("places")), "samples")
+    rows, places = samples.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+
+    def near(batches):
+        hashes = WordHash()
+        for part in slices(batches):
+            h, ends = _words(part.column(1).to_pylist(), hashes)
+            w = windows(h, length)
+            if not len(w):
+                continue
+            lists = part.column(2)
+            owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+            start = np.concatenate([[0], ends[:-1]])
+            at = (lists.flatten().to_numpy()[:, None] + np.arange(1 - gap, 1)).ravel()
+            owner = np.repeat(owner, gap)
+            fine = (at >= 0) & (start[owner] + at + length <= ends[owner])
+            both = np.unique(owner[fine] * (int(ends[-1]) + 1) + at[fine])
+            owner, at = both // (int(ends[-1]) + 1), both % (int(ends[-1]) + 1)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(w[start[owner] + at].view(np.int64)), part.column(0).take(pa.array(owner)), pa.array(at.astype(np.int32))], names=["w", "doc", "at"])
+
+    base = docs.where("_doc is not null and text is not null").select("_doc", "text")
+    picked = joined(base, samples.withColumnRenamed("doc", "_doc"), 96 * rows + 4 * places, "_doc", "inner").select("_doc", "text", "places")
+    found = written(picked.mapInArrow(near, "w bigint, doc bigint, at int"), "windows")
+    place = F.struct("doc", "at")
+    first = found.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("w", "first")
+    out = written(found.join(first, "w").where(place != F.col("first")).select("doc", "at", F.col("first.doc").alias("owner"), F.col("first.at").alias("owner_at")), "copies")
+    drop(samples, found)
+    return out
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
     """(doc, text_hash, spans): word offsets [start, end) of what goes, for the documents that lose something."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text")
-    copies = written(_copies(docs, length, gap), "copies")
+    copies = _copies(docs, length, gap)
     root = copies.groupBy("doc").agg(F.min("owner").alias("root"))
     owners = copies.groupBy("owner").agg(F.array_sort(F.collect_set("owner_at")).alias("places"))
-    # each sampled window brings its own words and what lies beside it; windows follow one another closely
+    # windows follow one another closely: each brings a word, and a run of them its whole length
     owners = owners.join(root.withColumnRenamed("doc", "owner"), "owner", "left").withColumn("root", F.least(F.coalesce("root", "owner"), "owner"))
-    owners = owners.withColumn("cost", F.size("places") * F.lit(gap) + F.lit(2 * length))
+    owners = owners.withColumn("cost", F.size("places") + F.lit(length))
     cost = owners.groupBy("root").agg(F.ceil(F.sum("cost") / F.lit(SHARD_WORDS)).alias("parts"), F.sum("cost").alias("total"))
     owners = written(owners.join(cost, "root").select("owner", "places", F.xxhash64("root", F.pmod(F.xxhash64("owner"), F.col("parts"))).alias("shard"), "cost"), "owners")
     total, n_owners = owners.agg(F.coalesce(F.sum("cost"), F.lit(0)), F.count("*")).first()
@@ -213,7 +281,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
                 words = small[ends[k - 1] if k else 0 : ends[k]]
                 if places:
                     p = np.array(places)
-                    lo, hi = np.maximum(p - length, 0), np.minimum(p + 2 * length, len(words))
+                    lo, hi = np.minimum(p, len(words)), np.minimum(p + length, len(words))
                     fresh = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
                     for a, b in zip(lo[fresh], np.append(hi[fresh[1:] - 1], hi[-1])):
                         shard.append(own), role.append(0), doc.append(doc_ids[k]), start.append(int(a)), packed.append(words[a:b].tobytes()), of.append(text_hash)

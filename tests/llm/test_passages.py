@@ -43,18 +43,29 @@ def test_spans_against_brute_force(spark, docs_of, monkeypatch, seed, broadcast)
     monkeypatch.setattr(substring, "SHARD_WORDS", 400)
     rows = corpus(seed)
     removed = {r["doc"]: {k for s in r["spans"] for k in range(s["a"], s["b"])} for r in substring.spans(docs_of(rows), L, G).collect()}
-    short, whole = windows(rows, L), windows(rows, L + G - 1)
-    # of a passage of L + G - 1 words, a window of L goes wherever it isn't first, so no such passage stays twice
-    for places in whole.values():
+    # every window of L words goes wherever it isn't first, and nothing else does
+    gone: dict = {}
+    for places in windows(rows, L).values():
         for i, a in places[1:]:
-            assert any(set(range(b, b + L)) <= removed.get(i, set()) for b in range(a, a + G))
-    # what goes is covered by windows of L words that stood somewhere before
-    fine: dict = {}
-    for places in short.values():
-        for i, a in places[1:]:
-            fine.setdefault(i, set()).update(range(a, a + L))
-    for i, gone in removed.items():
-        assert gone <= fine.get(i, set())
+            gone.setdefault(i, set()).update(range(a, a + L))
+    assert gone and removed == gone
+
+
+def test_threshold(spark, docs_of):
+    """A passage of LENGTH words goes where it isn't first, one of a word less stays, whatever stands around it."""
+    rng = random.Random(7)
+    own = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    rows, want = [], {}
+    for n in range(substring.LENGTH - 6, substring.LENGTH + 8):
+        for _ in range(4):
+            p = own(n)
+            for k in range(3):
+                before = own(rng.randrange(12))
+                if k and n >= substring.LENGTH:
+                    want[len(rows)] = set(range(len(before), len(before) + n))
+                rows.append((len(rows), " ".join(before + p + own(rng.randrange(12)))))
+    got = {r["doc"]: {k for s in r["spans"] for k in range(s["a"], s["b"])} for r in substring.spans(docs_of(rows)).collect()}
+    assert got == want
 
 
 def test_dedup_edges(spark, docs_of):
