@@ -1,6 +1,11 @@
 """Stages over documents, from quality to tokens. Each works on all rows that the one before it left, and its decisions take effect.
 
-Only the last stage changes the columns: it returns token ids beside doc_id, lang, source and n_chars. No stage is written as SQL.
+Only the last stage changes the columns: it returns token ids beside all columns but text. No stage is written as SQL.
+
+Edge cases: a row with a null text is rejected by the first stage; an empty text is scored like any other, has no partners and no tokens; a row with a null
+doc_id is never a near copy and loses no passage; repeated rows of one doc_id stay or go together; of ties the smallest doc_id stays; very long texts are
+worked on whole; an empty table gives an empty result; other columns are passed on whatever their names, but for those
+that the last stage makes itself, which it replaces.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ def no_benchmark(spark, docs, sf_dir):
 
 
 def tokens(spark, docs, sf_dir):
-    return bpe.encode(docs, keep=("lang", "source", "n_chars"))
+    return bpe.encode(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text", *bpe.MADE)))
 
 
 STAGES = [("quality", good), ("near_copies", one_of_each), ("substrings", no_repeats), ("decontamination", no_benchmark), ("bpe", tokens)]
