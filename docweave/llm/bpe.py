@@ -6,7 +6,8 @@ until no adjacent parts merge. Words beyond LONG bytes, for which repeated scans
 same boundaries and give the same parts.
 
 Edge cases: a null text gives null tokens and null counts; an empty text gives an empty list; repeated rows each give a
-row; very long texts are encoded whole; any other column is left out of the result, whatever its name.
+row; very long texts are encoded whole; an empty table gives an empty result; of equal ranks in a word the leftmost merges first; any other column is left
+out of the result, whatever its name, unless it is asked for.
 """
 
 from __future__ import annotations
@@ -244,6 +245,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+#: Columns that encode() adds.
+MADE = ("token_ids", "n_tokens", "n_bytes", "round_trip")
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, verify: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, token_ids, n_tokens, n_bytes[, round_trip]) and the columns in keep, for every row of docs.
 

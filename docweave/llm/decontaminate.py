@@ -14,7 +14,8 @@ The items are broadcast in shards of at most SHARD_CHARS characters, each with i
 searched once and each reported.
 
 Edge cases: null texts hold nothing and null items are never found; items of fewer than three words are too general and are
-skipped, where two characters of a script without spaces count as a word; repeated document rows each give their rows; long texts are scanned whole. Only doc_id, text and item_id are read,
+skipped, where two characters of a script without spaces count as a word; repeated document rows each give their rows; long texts are scanned whole; an empty table
+of documents or items gives an empty result, or leaves all rows. Only doc_id, text and item_id are read,
 whatever other columns are called.
 """
 

@@ -6,7 +6,9 @@ the nearest blocks that are decided: a short one takes the label of the nearer n
 there is none; a nearly good one is bad only between bad ones. The good blocks are the text.
 
 Edge cases: a null page has null results; an empty page, or one without text, an empty text and no blocks; unclosed tags end with the
-page, and a "<" that opens no tag is text; repeated rows each give a row; long pages are parsed whole, in linear time. Only page_id and
+page, and a "<" that opens no tag is text; repeated rows each give a row; long pages are parsed whole, in linear time; an empty table gives
+an empty result; of two decided neighbours at one distance the one before counts. Words are runs between spaces, so that pages in scripts without spaces have none
+to count and come back empty. Only page_id and
 html are read, whatever other columns are called.
 """
 
