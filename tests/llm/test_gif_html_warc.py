@@ -208,3 +208,55 @@ def test_declared_digests():
     sha1 = hashlib.sha1(body).digest()
     for said, right in ((b"sha1:" + base64.b32encode(sha1), True), (b"SHA-1:" + sha1.hex().encode(), True), (b"sha1:" + base64.b32encode(bytes(20)), False), (b"md5:" + hashlib.md5(body).hexdigest().encode(), True), (b"crc:12", None)):
         assert warc._declared(b"WARC/1.0\r\nWARC-Payload-Digest: " + said + b"\r\n", body) is right
+
+
+def test_files_of_other_encoders():
+    """Two well-known small files, as bytes."""
+    ten = bytes.fromhex("4749463839610A000A00910000FFFFFFFF00000000FF00000021F90400000000002C000000000A000A000002168C2D99872A1CDC33A00275EC95FAA8DE608C04914C01003B")
+    (delay, canvas), *more = ((d, c.copy()) for d, c in gif.frames(ten))
+    assert not more and delay == 0 and canvas.shape == (10, 10, 4)
+    colour = {(255, 255, 255): "0", (255, 0, 0): "1", (0, 0, 255): "2", (0, 0, 0): "3"}
+    assert ["".join(colour[tuple(map(int, p[:3]))] for p in row) for row in canvas] == ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+    one = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\xff\xff\xff\x00\x00\x00!\xf9\x04\x01\x00\x00\x00\x00,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
+    (delay, canvas), *more = gif.frames(one)
+    assert not more and canvas.shape == (1, 1, 4)
+    assert [f[1].shape for f in gif.frames(one.replace(b"GIF89a", b"GIF87a"))] == [(1, 1, 4)]
+
+
+def test_full_table_without_clear():
+    """An encoder may go on with a full table and never clear it."""
+    rng = np.random.default_rng(2)
+    pixels = rng.integers(0, 256, (120, 120)).astype(np.uint8)
+    table, out, bits, have, wide = {bytes([i]): i for i in range(256)}, bytearray(), 0, 0, 9
+
+    def put(code):
+        nonlocal bits, have
+        bits |= code << have
+        have += wide
+        while have >= 8:
+            out.append(bits & 255)
+            bits, have = bits >> 8, have - 8
+
+    put(256)
+    following, run = 258, b""
+    for p in pixels.tobytes():
+        longer = run + bytes([p])
+        if longer in table:
+            run = longer
+            continue
+        put(table[run])
+        if following < 4096:
+            table[longer] = following
+            following += 1
+            if following > 1 << wide and wide < 12:
+                wide += 1
+        run = bytes([p])
+    put(table[run])
+    put(257)
+    out.append(bits & 255)
+    palette = np.stack([np.arange(256)] * 3, 1).astype(np.uint8)
+    head = b"GIF87a" + bytes([120, 0, 120, 0, 0xF7, 0, 0]) + palette.tobytes() + b"\x2c" + bytes([0, 0, 0, 0, 120, 0, 120, 0, 0, 8])
+    body = b"".join(bytes([len(out[i : i + 255])]) + bytes(out[i : i + 255]) for i in range(0, len(out), 255)) + b"\x00\x3b"
+    assert following == 4096 and np.array_equal(next(iter(gif.frames(head + body)))[1][:, :, 0], pixels)
+    with pytest.raises(gif.GifError, match="pixels"):
+        list(gif.frames(head + body, 1000))
