@@ -10,7 +10,8 @@ of bounded size, kept together by the earliest document they lead to, and every
 states know their earliest end. Documents that repeat a window of a shard stream through its automaton: where the matching
 statistics reach LENGTH and the window's earliest occurrence is not here, it goes.
 
-A sample that a task meets twice is known to repeat there, and goes on as one row, so that a passage of a third of all documents is no hot group.
+A sample that a task meets twice is known to repeat there, and goes on as one row. The windows around repeated samples are read in order, a batch at a time, however
+many documents share one.
 All automata are broadcast if the reference text is at most BROADCAST_WORDS words; else documents are sent to the shards that
 they share a window with. No shard and no task holds more than SHARD_WORDS words of reference.
 
@@ -216,7 +217,7 @@ def _samples(docs: DataFrame, length: int, gap: int) -> DataFrame:
 
 
 def _copies(docs: DataFrame, length: int, gap: int) -> DataFrame:
-    """(doc, at, owner, owner_at) of each window of length words that isn't the first of its kind."""
+    """Of the windows of length words that occur more than once, where each occurs first: kind 0, doc, at; and which documents have others of them: kind 1, doc, owner."""
     samples = written(_samples(docs, length - gap + 1, gap).groupBy("doc").agg(F.collect_set("at").alias("places")), "samples")
     rows, places = samples.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
 
@@ -240,32 +241,93 @@ def _copies(docs: DataFrame, length: int, gap: int) -> DataFrame:
 
     base = docs.where("_doc is not null and text is not null").select("_doc", "text")
     picked = joined(base, samples.withColumnRenamed("doc", "_doc"), 96 * rows + 4 * places, "_doc", "inner").select("_doc", "text", "places")
-    found = written(picked.mapInArrow(near, "w bigint, doc bigint, at int"), "windows")
-    place = F.struct("doc", "at")
-    first = found.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("w", "first")
-    out = written(found.join(first, "w").where(place != F.col("first")).select("doc", "at", F.col("first.doc").alias("owner"), F.col("first.at").alias("owner_at")), "copies")
-    drop(samples, found)
+    def firsts(batches):
+        """Of rows in the order of w, doc and at; no more is held than a batch, the first row of the run that goes on, and pairs that are being gathered."""
+        held, have, open_, told = [], 0, None, False
+
+        def pairs():
+            nonlocal held, have
+            doc, owner = (np.concatenate(x) for x in zip(*held))
+            held, have = [], 0
+            order = np.lexsort((owner, doc))
+            doc, owner = doc[order], owner[order]
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])])
+            return rows(1, doc[new], owner[new])
+
+        def rows(kind, a, b):
+            for k in range(0, len(a), 100_000):
+                x = a[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x.astype(np.int64)), pa.array(b[k : k + 100_000].astype(np.int64))], names=["kind", "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w, doc, at = (batch.column(i).to_numpy() for i in range(3))
+            if open_ is not None:
+                w, doc, at = (np.concatenate([[x], y]) for x, y in zip(open_, (w, doc, at)))
+            new = np.ones(len(w), bool)
+            new[1:] = w[1:] != w[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+            other = np.flatnonzero((doc != doc[first]) | (at != at[first]))
+            runs = np.unique(first[other])
+            yield from rows(0, doc[fresh := runs[1:] if told and len(runs) and runs[0] == 0 else runs], at[fresh])
+            if len(other):
+                held.append((doc[other], doc[first[other]]))
+                have += len(other)
+                if have > LOT:
+                    yield from pairs()
+            last = int(first[-1])
+            told = bool(len(runs) and runs[-1] == last) or told and last == 0
+            open_ = w[last], doc[last], at[last]
+        if held:
+            yield from pairs()
+
+    found = picked.mapInArrow(near, "w bigint, doc bigint, at int").repartition("w").sortWithinPartitions("w", "doc", "at")
+    out = written(found.mapInArrow(firsts, "kind tinyint, a bigint, b bigint"), "copies")
+    drop(samples)
     return out
 
 
+def _runs(owners: DataFrame, length: int) -> DataFrame:
+    """(owner, starts, ends, cost): the windows that begin at an owner's places as runs of words."""
+
+    def run(batches):
+        for part in slices(batches, 4096):
+            lists = part.column(1)
+            many = lists.value_lengths().to_numpy()
+            p, of = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(many)), many)
+            order = np.lexsort((p, of))
+            p, of = p[order], of[order]
+            head = np.ones(len(p), bool)
+            head[1:] = (of[1:] != of[:-1]) | (p[1:] > p[:-1] + length)
+            tail = np.concatenate([head[1:], [True]])[: len(p)]
+            starts, ends = p[head].astype(np.int32), (p[tail] + length).astype(np.int32)
+            edges = np.concatenate([[0], np.cumsum(np.bincount(of[head], minlength=len(many)))]).astype(np.int32)
+            cost = np.bincount(of[head], (ends - starts).astype(float), len(many)).astype(np.int64)
+            column = lambda x: pa.ListArray.from_arrays(pa.array(edges), pa.array(x))
+            yield pa.RecordBatch.from_arrays([part.column(0), column(starts), column(ends), pa.array(cost)], names=["owner", "starts", "ends", "cost"])
+
+    return owners.mapInArrow(run, "owner bigint, starts array<int>, ends array<int>, cost bigint")
+
+
 def spans(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
     """(doc, text_hash, spans): word offsets [start, end) of what goes, for the documents that lose something."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text")
     copies = _copies(docs, length, gap)
-    root = copies.groupBy("doc").agg(F.min("owner").alias("root"))
-    owners = copies.groupBy("owner").agg(F.array_sort(F.collect_set("owner_at")).alias("places"))
-    # windows follow one another closely: each brings a word, and a run of them its whole length
+    pairs = copies.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("owner")).distinct()
+    root = pairs.groupBy("doc").agg(F.min("owner").alias("root"))
+    owners = _runs(copies.where("kind = 0").groupBy(F.col("a").alias("owner")).agg(F.collect_list(F.col("b").cast("int")).alias("places")), length)
     owners = owners.join(root.withColumnRenamed("doc", "owner"), "owner", "left").withColumn("root", F.least(F.coalesce("root", "owner"), "owner"))
-    owners = owners.withColumn("cost", F.size("places") + F.lit(length))
+    owners = written(owners, "owners")
     cost = owners.groupBy("root").agg(F.ceil(F.sum("cost") / F.lit(SHARD_WORDS)).alias("parts"), F.sum("cost").alias("total"))
-    owners = written(owners.join(cost, "root").select("owner", "places", F.xxhash64("root", F.pmod(F.xxhash64("owner"), F.col("parts"))).alias("shard"), "cost"), "owners")
-    total, n_owners = owners.agg(F.coalesce(F.sum("cost"), F.lit(0)), F.count("*")).first()
-
-    refs_of = owners.groupBy("owner").agg(F.first("places").alias("places"), F.first("shard").alias("shard")).withColumnRenamed("owner", "_doc")
-    wanted = copies.select("doc", "owner").distinct().join(owners.select("owner", "shard"), "owner").groupBy("doc").agg(F.collect_set("shard").alias("shards"))
+    total = owners.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
+    shards = owners.join(cost, "root").select("owner", "starts", "ends", F.xxhash64("root", F.pmod(F.xxhash64("owner"), F.col("parts"))).alias("shard"))
+    refs_of = shards.withColumnRenamed("owner", "_doc")
+    wanted = pairs.join(shards.select("owner", "shard"), "owner").groupBy("doc").agg(F.collect_set("shard").alias("shards"))
     plan = written(refs_of.join(wanted.withColumnRenamed("doc", "_doc"), "_doc", "full"), "plan")
-    rows, entries = plan.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("places"), F.lit(0)) + F.greatest(F.size("shards"), F.lit(0))), F.lit(0))).first()
+    many = lambda c: F.greatest(F.size(c), F.lit(0))
+    rows, entries = plan.agg(F.count("*"), F.coalesce(F.sum(many("starts") + many("shards")), F.lit(0))).first()
     drop(copies, owners)
 
     def cut(batches):
@@ -277,21 +339,17 @@ def spans(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
             small = (h >> np.uint64(32)).astype("<u4")
             shard, role, doc, start, packed, of = [], [], [], [], [], []
             doc_ids = part.column(0).to_pylist()
-            for k, (places, own, go, text_hash) in enumerate(zip(*(part.column(i).to_pylist() for i in range(2, 6)))):
+            for k, (starts, stops, own, go, text_hash) in enumerate(zip(*(part.column(i).to_pylist() for i in range(2, 7)))):
                 words = small[ends[k - 1] if k else 0 : ends[k]]
-                if places:
-                    p = np.array(places)
-                    lo, hi = np.minimum(p, len(words)), np.minimum(p + length, len(words))
-                    fresh = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
-                    for a, b in zip(lo[fresh], np.append(hi[fresh[1:] - 1], hi[-1])):
-                        shard.append(own), role.append(0), doc.append(doc_ids[k]), start.append(int(a)), packed.append(words[a:b].tobytes()), of.append(text_hash)
+                for a, b in zip(starts or (), stops or ()):
+                    shard.append(own), role.append(0), doc.append(doc_ids[k]), start.append(a), packed.append(words[a:b].tobytes()), of.append(text_hash)
                 for s in go or ():
                     shard.append(s), role.append(1), doc.append(doc_ids[k]), start.append(0), packed.append(words.tobytes()), of.append(text_hash)
             if shard:
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(role, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(packed, pa.binary()), pa.array(of, pa.int64())], names=["shard", "role", "doc", "start", "words", "text_hash"])
 
     base = docs.where("_doc is not null and text is not null").select("_doc", "text")
-    picked = joined(base, plan, 96 * rows + 8 * entries, "_doc", "inner").select("_doc", "text", "places", "shard", "shards", F.xxhash64("text"))
+    picked = joined(base, plan, 96 * rows + 8 * entries, "_doc", "inner").select("_doc", "text", "starts", "ends", "shard", "shards", F.xxhash64("text"))
     schema = "shard bigint, role int, doc bigint, start int, words binary, text_hash bigint"
     found = "doc bigint, text_hash bigint, a int, b int"
 
@@ -300,7 +358,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc", "text_hash", "a", "b"])
 
     if total <= BROADCAST_WORDS:
-        texts = picked.where("places is not null").mapInArrow(cut, schema).where("role = 0").orderBy("doc", "start").collect()
+        texts = picked.where("starts is not null").mapInArrow(cut, schema).where("role = 0").orderBy("doc", "start").collect()
         automata: dict[int, Automaton] = {}
         for r in texts:
             automata.setdefault(r["shard"], Automaton()).add(r["doc"], r["start"], np.frombuffer(r["words"], "<u4").tolist())
