@@ -3,9 +3,10 @@
 A set's tokens, hashes of its n-grams, are ordered from rare to frequent. How often a token occurs is estimated from two count sketches of fixed
 size over all documents, one of words and one of tokens: about as often as chance brings its words together, unless its own bucket says more. Any
 order gives right results, a good one short lists. Tokens up to FREQUENT occurrences form a class that is indexed by single
-tokens; the frequent ones fall into CLASSES classes by hash, which are indexed by combinations of two tokens. A set of n tokens may
+tokens; the frequent ones fall into classes by hash, which are indexed by combinations of two tokens. A set of n tokens may
 lack at most n - ceil(THRESHOLD * n) of a partner's, so its prefix is extended until the tokens of its classes, less one for each
-class of pairs that it enters, outnumber that by SHARED: then partners share SHARED signatures at least. Sets below SMALL tokens, which
+class of pairs that it enters, outnumber that by SHARED: then partners share SHARED signatures at least. How many classes there are depends on the larger
+set's band of sizes, so that a class holds a few tokens of a set; sets near the end of a band enter the next one too. Sets below SMALL tokens, which
 may be too short for that, and all that could be partners of theirs, are indexed by plain prefixes as well.
 
 Equal sets are one from the start, so copies cost no pairs. Signatures and lists travel in packed blocks. The lists of one group of near copies
@@ -34,8 +35,10 @@ from docweave.llm.common import WordHash, drop, fresh_name, joined, mix, slices,
 N, THRESHOLD = 2, 0.55
 #: Signatures that partners of SMALL tokens or more share.
 SHARED, SMALL = 3, 20
-#: Occurrences beyond which a token is frequent; classes of frequent tokens.
-FREQUENT, CLASSES = 4096, 8
+#: Occurrences beyond which a token is frequent. Single tokens of more would make lists that grow with the input, and pairs with its square.
+FREQUENT = 8
+#: Of a band of sizes, the largest by the smallest; each has its own number of classes of frequent tokens.
+BAND = 4
 SKETCH_BITS, CHUNKS = 20, 64
 #: Signatures that one part of an exchange holds about, and that a task packs at once.
 PART, LOT = 4_000_000, 2_000_000
@@ -121,6 +124,21 @@ def shares(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.maximum(least, 1)
 
 
+def _schemes(low: int, high: int, threshold: float) -> list[tuple[int, int, int]]:
+    """(from, to, classes): for the bands of sizes that sets of low to high tokens enter, which sets enter each, and its classes of frequent tokens.
+
+    A pair meets in the band of its larger set, which sets down to threshold of the band's least size enter too. As many classes
+    leave the smallest of them tokens enough.
+    """
+    out, least = [], SMALL
+    while threshold * least <= high + 1e-9:
+        first = max(SMALL, int(np.ceil(threshold * least - 1e-9)))
+        if low < least * BAND:
+            out.append((first, least * BAND, max(1, int(need(np.array(first), threshold)) - SHARED)))
+        least *= BAND
+    return out
+
+
 def signatures(tokens: np.ndarray, sizes: np.ndarray, seen: np.ndarray, frequent: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set) for sets that follow one another, with how often each token occurs; the lowest bit tells plain prefixes from the others."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -137,22 +155,29 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, seen: np.ndarray, frequent
     sigs = [mix(tokens[plain]) | one, mix(tokens[single]) & ~one]
     owners = [owner[plain], owner[single]]
     rare = np.bincount(owner[seen <= frequent], minlength=len(sizes))
-    for i in np.flatnonzero(main & (rare < spare + SHARED)).tolist():
-        own = tokens[starts[i] + rare[i] : starts[i] + sizes[i]]
-        kind = (own >> np.uint64(8)).astype(np.int64) % CLASSES
-        by = np.argsort(kind, kind="stable")
-        first = np.concatenate([[True], kind[by][1:] != kind[by][:-1]])
-        gains = np.ones(len(own), np.int64)
-        gains[by[first]] = 0
-        end = int(np.searchsorted(np.cumsum(gains), spare[i] + SHARED - rare[i])) + 1
-        own, kind = own[:end], kind[:end]
-        for k in range(CLASSES):
-            x = own[kind == k]
-            if len(x) > 1:
-                a, b = np.triu_indices(len(x), 1)
-                with np.errstate(over="ignore"):
-                    sigs.append(mix(x[a] * _A + mix(x[b] * _B)) & ~one)
-                owners.append(np.full(len(a), i))
+    short = main & (rare < spare + SHARED)  # of single tokens
+    if not short.any():
+        return np.concatenate(sigs), np.concatenate(owners)
+    for first, end, classes in _schemes(int(sizes[short].min()), int(sizes[short].max()), threshold):
+        own = np.flatnonzero(short & (sizes >= first) & (sizes < end))
+        many = (sizes - rare)[own]
+        at, of = _ragged((starts + rare)[own], many), np.repeat(own, many)
+        kind = ((tokens[at] >> np.uint64(8)) % np.uint64(classes)).astype(np.int64)
+        by = np.lexsort((kind, of))  # stable: by place within a class
+        gain = np.zeros(len(at), np.int64)
+        gain[by[1:]] = (kind[by][1:] == kind[by][:-1]) & (of[by][1:] == of[by][:-1])
+        gained = np.cumsum(gain) - gain
+        gained -= np.repeat(gained[np.cumsum(many) - many], many)  # of the set's tokens before this one
+        by = by[(gained < (spare + SHARED - rare)[of])[by]]
+        if not len(by):
+            continue
+        head = np.concatenate([[True], (kind[by][1:] != kind[by][:-1]) | (of[by][1:] != of[by][:-1])])
+        begin = np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))
+        before = np.arange(len(by)) - begin
+        x, y = tokens[at[by]][_ragged(begin, before)], np.repeat(tokens[at[by]], before)
+        with np.errstate(over="ignore"):
+            sigs.append(mix(x * _A + mix(y * _B) + np.uint64(classes)) & ~one)
+        owners.append(np.repeat(of[by], before))
     return np.concatenate(sigs), np.concatenate(owners)
 
 

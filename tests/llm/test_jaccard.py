@@ -128,6 +128,36 @@ def test_partners_share_signatures(frequent):
         assert least >= (1 if small else jaccard.SHARED) and ((both & np.uint64(1)) == small).sum() >= least
 
 
+def test_partners_of_any_size_share_signatures():
+    """Sets that only combinations find, as small as partners may be, on both sides of every band."""
+    rng = np.random.default_rng(8)
+    t = jaccard.THRESHOLD
+    pool = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    counts = rng.integers(0, 9, len(pool))
+    for n in (20, 21, 36, 37, 79, 80, 81, 145, 146, 319, 320, 581, 600, 1279, 1280, 2327, 2400, 5119, 5130):
+        for m in {n, int(np.ceil(t * n)), int(0.8 * n)}:
+            both = int(np.ceil(t / (1 + t) * (n + m) - 1e-9))
+            x = rng.choice(len(pool), n + m - both, False)
+            x, y = np.sort(x[:n]), np.sort(x[n - both :])
+            of = np.concatenate([x, y])
+            sig, owner = jaccard.signatures(pool[of], np.array([n, m]), counts[of], -1, t)
+            shared = np.intersect1d(sig[owner == 0], sig[owner == 1])
+            small = min(n, m) < jaccard.SMALL
+            assert ((shared & np.uint64(1)) == small).sum() >= jaccard.shares(np.array([n]), np.array([m]), t)[0], (n, m)
+
+
+def test_chance_pairs_stay_few():
+    """Sets without partners that have many tokens in common by chance, each of which stands in 50 sets about."""
+    rng = np.random.default_rng(5)
+    n, size = 2500, 120
+    pool = np.unique(rng.integers(0, 1 << 63, 6000).astype(np.uint64))
+    tokens = np.concatenate([np.sort(rng.choice(pool, size, False)) for _ in range(n)])
+    _, where, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    sig, of = jaccard.signatures(tokens, np.full(n, size), times[where], jaccard.FREQUENT, jaccard.THRESHOLD)
+    lists = np.unique(sig, return_counts=True)[1].astype(float)
+    assert len(sig) < 2 * n * size and (lists * (lists - 1) / 2).sum() < 100 * n
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 260)]
