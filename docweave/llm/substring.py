@@ -10,8 +10,9 @@ of bounded size, kept together by the earliest document they lead to, and every
 states know their earliest end. Documents that repeat a window of a shard stream through its automaton: where the matching
 statistics reach LENGTH and the window's earliest occurrence is not here, it goes.
 
-A sample that a task meets twice is known to repeat there, and goes on as one row. The windows around repeated samples are read in order, a batch at a time, however
-many documents share one.
+Only hashes of samples are exchanged, in packed blocks; those that repeat become a filter of at most 2 ** (PART_BITS + CHUNK_BITS) bits, which is broadcast, and documents are
+read again with it, so that no text moves. A sample that the filter takes for a repeated one costs a comparison of its windows, and changes nothing else. The windows
+around repeated samples are read in order, a batch at a time, however many documents share one.
 All automata are broadcast if the reference text is at most BROADCAST_WORDS words; else documents are sent to the shards that
 they share a window with. No shard and no task holds more than SHARD_WORDS words of reference.
 
@@ -35,6 +36,8 @@ from docweave.llm.common import WordHash, drop, fresh_name, joined, mix, slices,
 LENGTH, GAP = 50, 7
 #: Sampled windows that a task sorts at once.
 LOT = 1_000_000
+#: Parts of the samples, by the first bits of their hashes, and bits of the filter that a part has at most.
+PART_BITS, CHUNK_BITS = 10, 18
 SHARD_WORDS, BROADCAST_WORDS = 100_000, 20_000
 _WORD = re.compile(r"\S+")
 
@@ -45,22 +48,20 @@ def sampled(h: np.ndarray, ends: np.ndarray, length: int, gap: int) -> np.ndarra
     n = len(w)
     if not n:
         return np.zeros(0, np.int64)
-    owner = np.searchsorted(ends, np.arange(n), "right")
-    inside = np.arange(n) + length <= ends[owner]
+    place = np.arange(n)
+    owner = np.searchsorted(ends, place, "right")
+    last = ends[owner] - length
+    inside = place <= last
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     w = np.where(inside, w, top)
-    best, at = w.copy(), np.arange(n)
-    for s in range(1, gap):
-        other = np.concatenate([w[s:], np.full(min(s, n), top)])[:n]
-        better = other <= best
+    best, at = w.copy(), place.copy()
+    for s in range(1, min(gap, n)):
         # a run of windows must lie in one text
-        better &= np.arange(n) + s + length <= np.concatenate([ends[owner]])
-        best = np.where(better, other, best)
-        at = np.where(better, np.arange(n) + s, at)
+        better = np.flatnonzero((w[s:] <= best[:-s]) & (place[s:] <= last[:-s]))
+        best[better], at[better] = w[s:][better], better + s
     # a start counts if gap windows follow it in its text, or if it is the text's first
     starts = np.concatenate([[0], ends[:-1]])[owner]
-    whole = np.arange(n) + gap - 1 + length <= ends[owner]
-    return np.unique(at[inside & (whole | (np.arange(n) == starts))])
+    return np.unique(at[inside & ((place + gap - 1 <= last) | (place == starts))])
 
 
 class Automaton:
@@ -153,94 +154,112 @@ def _words(texts: list, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
     return hashes.of([w for x in split for w in x]), np.cumsum([len(x) for x in split])
 
 
-def _samples(docs: DataFrame, length: int, gap: int) -> DataFrame:
-    """(doc, at) of each sampled window of length words that occurs elsewhere too."""
+class Filter:
+    """Which hashes may repeat: a row of bits for each part, of two places a hash."""
+
+    def __init__(self, chunks: dict[int, bytes]):
+        many = np.array([8 * len(chunks.get(k, b"\0" * 8)) for k in range(1 << PART_BITS)])
+        self.base, self.mask = np.cumsum(many) - many, (many - 1).astype(np.uint64)
+        self.bits = np.frombuffer(b"".join(chunks.get(k, b"\0" * 8) for k in range(1 << PART_BITS)), np.uint8)
+
+    @staticmethod
+    def split(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - PART_BITS)).astype(np.int64), (h >> np.uint64(32 - PART_BITS)).astype(np.uint32)
+
+    @staticmethod
+    def places(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = mix(rest.astype(np.uint64) + np.uint64(1))
+        return x, x >> np.uint64(32)
+
+    @staticmethod
+    def chunk(rest: np.ndarray) -> bytes:
+        bits = np.zeros(1 << min(CHUNK_BITS, max(6, int(np.ceil(np.log2(32 * len(rest)))))), bool)
+        for x in Filter.places(rest):
+            bits[(x & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        return np.packbits(bits, bitorder="little").tobytes()
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        part, rest = self.split(h)
+        out = np.ones(len(h), bool)
+        for x in self.places(rest):
+            at = self.base[part] + (x & self.mask[part]).astype(np.int64)
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def _repeated(docs: DataFrame, length: int, gap: int) -> Filter:
+    """The sampled windows of length words that occur more than once."""
 
     def sample(batches):
         hashes, held, have = WordHash(), [], 0
 
         def close():
             nonlocal held, have
-            h, doc, at = (np.concatenate(x) for x in zip(*held))
+            h = np.sort(np.concatenate(held))
             held, have = [], 0
-            order = np.lexsort((at, doc, h))
-            h, doc, at = h[order], doc[order], at[order]
-            new = np.ones(len(h), bool)  # repeated rows are at one place
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-            h, doc, at = h[new], doc[new], at[new]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            many = np.diff(np.append(np.flatnonzero(first), len(h)))
-            known = np.repeat(many > 1, many)
-            with np.errstate(over="ignore"):
-                place = mix(doc.view(np.uint64) * np.uint64(31) + at.astype(np.uint64))
-            for kind, rows, key in ((0, first, h), (1, known, place)):
-                for k in range(0, len(own := np.flatnonzero(rows)), 100_000):
-                    i = own[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int8)), pa.array(key[i].view(np.int64)), pa.array(doc[i]), pa.array(at[i].astype(np.int32))], names=["kind", "h", "doc", "at"])
+            # one that repeats here goes twice, however often it occurs
+            few = np.ones(len(h), bool)
+            few[2:] = h[2:] != h[:-2]
+            part, rest = Filter.split(h[few])
+            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int32)), pa.array([rest[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())], names=["part", "rest"])
 
         for part in slices(batches):
-            h, ends = _words(part.column(1).to_pylist(), hashes)
+            h, ends = _words(part.column(0).to_pylist(), hashes)
             at = sampled(h, ends, length, gap)
             if len(at):
-                owner = np.searchsorted(ends, at, "right")
-                held.append((windows(h, length)[at], part.column(0).to_numpy()[owner], at - np.concatenate([[0], ends[:-1]])[owner]))
+                held.append(windows(h, length)[at])
                 have += len(at)
                 if have > LOT:
+                    yield close()
+        if held:
+            yield close()
+
+    def repeated(batches):
+        """Of rows in the order of parts: the bits of those of a part that stand twice."""
+        now, held = None, []
+
+        def close():
+            x = np.sort(np.concatenate(held))
+            if len(many := np.unique(x[1:][x[1:] == x[:-1]])):
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([Filter.chunk(many)], pa.binary())], names=["part", "bits"])
+
+        for batch in slices(batches):
+            for part, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != now and held:
                     yield from close()
+                    held = []
+                now = part
+                held.append(np.frombuffer(rest, np.uint32))
         if held:
             yield from close()
 
-    def repeated(batches):
-        """Of rows in the order of kind and h: those of kind 1, and runs of one h that has several places."""
-        last: tuple | None = None  # a row whose run hasn't shown a second place yet
-        run = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind, h, doc, at = (batch.column(i).to_numpy() for i in range(4))
-            if last is not None:
-                kind, h, doc, at = (np.concatenate([[x], y]) for x, y in zip(last, (kind, h, doc, at)))
-            same = (kind[1:] == 0) & (kind[:-1] == 0) & (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
-            keep = (kind == 1) | np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            if run is not None:  # the run before it had several places
-                keep |= (kind == 0) & (h == run)
-            end = kind[-1] == 0 and not keep[-1]
-            last = (kind[-1], h[-1], doc[-1], at[-1]) if end else None
-            run = h[-1] if kind[-1] == 0 and keep[-1] else None
-            own = np.flatnonzero(keep)
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[own].astype(np.int64)), pa.array(at[own].astype(np.int32))], names=["doc", "at"])
-
-    found = docs.select("_doc", "text").where("_doc is not null and text is not null").mapInArrow(sample, "kind tinyint, h bigint, doc bigint, at int")
-    return found.repartition("h").sortWithinPartitions("kind", "h", "doc", "at").mapInArrow(repeated, "doc bigint, at int")
+    found = docs.where("_doc is not null and text is not null").select("text").mapInArrow(sample, "part int, rest binary")
+    rows = found.repartition("part").sortWithinPartitions("part").mapInArrow(repeated, "part int, bits binary").collect()
+    return Filter({r["part"]: bytes(r["bits"]) for r in rows})
 
 
 def _copies(docs: DataFrame, length: int, gap: int) -> DataFrame:
     """Of the windows of length words that occur more than once, where each occurs first: kind 0, doc, at; and which documents have others of them: kind 1, doc, owner."""
-    samples = written(_samples(docs, length - gap + 1, gap).groupBy("doc").agg(F.collect_set("at").alias("places")), "samples")
-    rows, places = samples.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    repeats = docs.sparkSession.sparkContext.broadcast(_repeated(docs, length - gap + 1, gap))
 
     def near(batches):
         hashes = WordHash()
         for part in slices(batches):
             h, ends = _words(part.column(1).to_pylist(), hashes)
-            w = windows(h, length)
-            if not len(w):
+            at = sampled(h, ends, length - gap + 1, gap)
+            at = at[repeats.value.has(windows(h, length - gap + 1)[at])] if len(at) else at
+            if not len(at):
                 continue
-            lists = part.column(2)
-            owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-            start = np.concatenate([[0], ends[:-1]])
-            at = (lists.flatten().to_numpy()[:, None] + np.arange(1 - gap, 1)).ravel()
-            owner = np.repeat(owner, gap)
-            fine = (at >= 0) & (start[owner] + at + length <= ends[owner])
-            both = np.unique(owner[fine] * (int(ends[-1]) + 1) + at[fine])
-            owner, at = both // (int(ends[-1]) + 1), both % (int(ends[-1]) + 1)
+            owner, start = np.repeat(np.searchsorted(ends, at, "right"), gap), np.concatenate([[0], ends[:-1]])
+            at = (at[:, None] + np.arange(1 - gap, 1)).ravel()
+            at = np.unique(at[(at >= start[owner]) & (at + length <= ends[owner])])
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(w[start[owner] + at].view(np.int64)), part.column(0).take(pa.array(owner)), pa.array(at.astype(np.int32))], names=["w", "doc", "at"])
+                owner = np.searchsorted(ends, at, "right")
+                yield pa.RecordBatch.from_arrays([pa.array(windows(h, length)[at].view(np.int64)), part.column(0).take(pa.array(owner)), pa.array((at - start[owner]).astype(np.int32))], names=["w", "doc", "at"])
 
     base = docs.where("_doc is not null and text is not null").select("_doc", "text")
-    picked = joined(base, samples.withColumnRenamed("doc", "_doc"), 96 * rows + 4 * places, "_doc", "inner").select("_doc", "text", "places")
+
     def firsts(batches):
         """Of rows in the order of w, doc and at; no more is held than a batch, the first row of the run that goes on, and pairs that are being gathered."""
         held, have, open_, told = [], 0, None, False
@@ -282,10 +301,8 @@ def _copies(docs: DataFrame, length: int, gap: int) -> DataFrame:
         if held:
             yield from pairs()
 
-    found = picked.mapInArrow(near, "w bigint, doc bigint, at int").repartition("w").sortWithinPartitions("w", "doc", "at")
-    out = written(found.mapInArrow(firsts, "kind tinyint, a bigint, b bigint"), "copies")
-    drop(samples)
-    return out
+    found = base.mapInArrow(near, "w bigint, doc bigint, at int").repartition("w").sortWithinPartitions("w", "doc", "at")
+    return written(found.mapInArrow(firsts, "kind tinyint, a bigint, b bigint"), "copies")
 
 
 def _runs(owners: DataFrame, length: int) -> DataFrame:

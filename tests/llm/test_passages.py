@@ -68,6 +68,31 @@ def test_threshold(spark, docs_of):
     assert got == want
 
 
+def test_filter_and_what_is_sent(spark, docs_of, monkeypatch):
+    """Every repeated sample is in the filter, few others are, and no text goes through an exchange to find the windows that repeat."""
+    monkeypatch.setattr(substring, "LOT", 500)
+    rows = corpus(5)
+    docs = docs_of(rows, 4).selectExpr("doc_id as _doc", "text")
+    hashes, times = WordHash(), {}
+    for _, t in rows:
+        h, ends = substring._words([t], hashes)
+        for x in windows_of(h, ends):
+            times[x] = times.get(x, 0) + 1
+    filter_ = substring._repeated(docs, L - G + 1, G)
+    has = dict(zip(times, filter_.has(np.array(list(times), np.uint64))))
+    assert all(has[x] for x, n in times.items() if n > 1) and any(n > 1 for n in times.values())
+    assert sum(has[x] for x, n in times.items() if n == 1) < 0.05 * len(times)
+    sent = []
+    monkeypatch.setattr(substring, "joined", lambda big, *a: sent.append(big.columns))
+    substring._copies(docs, L, G)
+    assert not sent
+
+
+def windows_of(h, ends):
+    at = substring.sampled(h, ends, L - G + 1, G)
+    return substring.windows(h, L - G + 1)[at].tolist() if len(at) else []
+
+
 def test_dedup_edges(spark, docs_of):
     passage = " ".join(f"p{i}" for i in range(80))
     rows = [(1, f"one {passage} end"), (2, f"two\n{passage}\nrest here"), (3, None), (4, ""), (5, "short"), (None, passage), (6, f"{passage} mid {passage}"), (7, passage), (7, passage)]
