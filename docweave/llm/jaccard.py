@@ -11,7 +11,8 @@ may be too short for that, and all that could be partners of theirs, are indexed
 
 Equal sets are one from the start, so copies cost no pairs. Signatures and lists travel in packed blocks. The lists of one group of near copies
 mostly begin with one of a few sets, and meet there; lists of more than LONG sets are split into blocks of sets, each pair of blocks on its own.
-Of two sets, their sizes say how many signatures they share at least if they are partners; candidates that do are verified on the whole sets, as
+Of two sets, their sizes say how many signatures they share at least if they are partners, and how far into the prefix of each: the signatures of tokens
+more frequent than that make no candidates, though a partner of another size may need them. Candidates that share enough are verified on the whole sets, as
 48-bit hashes of their n-grams, in cells of at most two blocks of BLOCK sets about. What leaves a cell grows with its sets, not with its pairs:
 how many partners each has, and edges that connect them.
 
@@ -35,6 +36,10 @@ from docweave.llm.common import WordHash, drop, fresh_name, joined, mix, slices,
 N, THRESHOLD = 2, 0.55
 #: Signatures that partners of SMALL tokens or more share.
 SHARED, SMALL = 3, 20
+#: Shared signatures that are asked for at most; more would only lead to more frequent tokens.
+ENOUGH = 6
+#: Steps in which the place of a signature in its set's prefix is told, rounded down.
+LEVELS = 16
 #: Occurrences beyond which a token is frequent. Single tokens of more would make lists that grow with the input, and pairs with its square.
 FREQUENT = 8
 #: Of a band of sizes, the largest by the smallest; each has its own number of classes of frequent tokens.
@@ -121,7 +126,17 @@ def shares(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     """
     common = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
     least = common - np.maximum(need(n, threshold), need(m, threshold)) + np.where(np.minimum(n, m) < SMALL, 1, SHARED)
-    return np.maximum(least, 1)
+    return np.clip(least, 1, ENOUGH)
+
+
+def _within(n: np.ndarray, m: np.ndarray, level: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a signature of a set of n may be one of those by which a partner of m is found.
+
+    Up to the last of the first so many signatures that partners share, a set has those and at most one more for each token that the partner lacks.
+    """
+    common = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
+    place = -(-level.astype(np.int64) * (n - need(n, threshold) + SHARED) // LEVELS)
+    return place < n - common + shares(n, m, threshold)
 
 
 def _schemes(low: int, high: int, threshold: float) -> list[tuple[int, int, int]]:
@@ -141,6 +156,11 @@ def _schemes(low: int, high: int, threshold: float) -> list[tuple[int, int, int]
 
 def signatures(tokens: np.ndarray, sizes: np.ndarray, seen: np.ndarray, frequent: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set) for sets that follow one another, with how often each token occurs; the lowest bit tells plain prefixes from the others."""
+    return _signed(tokens, sizes, seen, frequent, threshold)[:2]
+
+
+def _signed(tokens: np.ndarray, sizes: np.ndarray, seen: np.ndarray, frequent: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """signatures(), and the level of each: how many the set is sure to have before it, as LEVELS steps of its prefix."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((tokens, seen, owner))
     tokens, seen = tokens[order], seen[order]
@@ -153,11 +173,16 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, seen: np.ndarray, frequent
     main = sizes >= SMALL
     single = main[owner] & (place < (spare + SHARED)[owner]) & (seen <= frequent)
     sigs = [mix(tokens[plain]) | one, mix(tokens[single]) & ~one]
-    owners = [owner[plain], owner[single]]
+    owners, places = [owner[plain], owner[single]], [place[plain], place[single]]
+
+    def done():
+        of, before = np.concatenate(owners), np.concatenate(places)
+        return np.concatenate(sigs), of, (before * LEVELS // (spare + SHARED)[of]).astype(np.uint8)
+
     rare = np.bincount(owner[seen <= frequent], minlength=len(sizes))
     short = main & (rare < spare + SHARED)  # of single tokens
     if not short.any():
-        return np.concatenate(sigs), np.concatenate(owners)
+        return done()
     for first, end, classes in _schemes(int(sizes[short].min()), int(sizes[short].max()), threshold):
         own = np.flatnonzero(short & (sizes >= first) & (sizes < end))
         many = (sizes - rare)[own]
@@ -178,7 +203,8 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, seen: np.ndarray, frequent
         with np.errstate(over="ignore"):
             sigs.append(mix(x * _A + mix(y * _B) + np.uint64(classes)) & ~one)
         owners.append(np.repeat(of[by], before))
-    return np.concatenate(sigs), np.concatenate(owners)
+        places.append(np.repeat((gained + rare[of])[by], before))
+    return done()
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
@@ -275,10 +301,10 @@ def _by_part(batches):
         yield held
 
 
-def _pack_signatures(sig: np.ndarray, of: np.ndarray, keys: np.ndarray, sizes: np.ndarray, parts: int) -> pa.RecordBatch:
+def _pack_signatures(sig: np.ndarray, of: np.ndarray, level: np.ndarray, keys: np.ndarray, sizes: np.ndarray, parts: int) -> pa.RecordBatch:
     """Blocks of signatures, each with the keys and sizes of its sets once."""
     order = np.argsort(sig)
-    sig, of = sig[order], of[order]
+    sig, of, level = sig[order], of[order], level[order]
     part, rest = _parts_of(sig, parts)
     rest = rest & ~np.uint32(1) | (sig & np.uint64(1)).astype(np.uint32)
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
@@ -286,11 +312,11 @@ def _pack_signatures(sig: np.ndarray, of: np.ndarray, keys: np.ndarray, sizes: n
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         own, which = np.unique(of[a:b], return_inverse=True)
         step = np.diff(rest[a:b], prepend=np.uint32(0))
-        rows.append((int(part[a]), b - a, len(own), 0, _planes(step, which.astype(_narrow(len(own))), sizes[own].astype("<u4")), keys[own].astype("<u8").tobytes()))
+        rows.append((int(part[a]), b - a, len(own), 0, _planes(step, which.astype(_narrow(len(own))), level[a:b], sizes[own].astype("<u4")), keys[own].astype("<u8").tobytes()))
     return _block(rows)
 
 
-def _pack_lists(hub: np.ndarray, flag: np.ndarray, many: np.ndarray, left: np.ndarray, key: np.ndarray, size: np.ndarray, parts: int) -> pa.RecordBatch:
+def _pack_lists(hub: np.ndarray, flag: np.ndarray, many: np.ndarray, left: np.ndarray, key: np.ndarray, size: np.ndarray, level: np.ndarray, parts: int) -> pa.RecordBatch:
     """Blocks of lists: a hub, a flag, how many sets, how many of them on the left, and the sets."""
     starts = np.cumsum(many) - many
     part, _ = _parts_of(mix(hub), parts)
@@ -302,7 +328,7 @@ def _pack_lists(hub: np.ndarray, flag: np.ndarray, many: np.ndarray, left: np.nd
         at = _ragged(starts[own], many[own])
         heads, which_hub = np.unique(hub[own], return_inverse=True)
         ids, first, which = np.unique(key[at], return_index=True, return_inverse=True)
-        body = _planes(which_hub.astype("<u4"), flag[own].astype("u1"), many[own].astype("<u4"), left[own].astype("<u4"), np.array([len(heads)], "<u4"), which.astype(_narrow(len(ids))), size[at][first].astype("<u4"))
+        body = _planes(which_hub.astype("<u4"), flag[own].astype("u1"), many[own].astype("<u4"), left[own].astype("<u4"), np.array([len(heads)], "<u4"), which.astype(_narrow(len(ids))), level[at], size[at][first].astype("<u4"))
         rows.append((int(part[order[a]]), b - a, len(ids), len(at), body, np.concatenate([ids, heads]).astype("<u8").tobytes()))
     return _block(rows)
 
@@ -317,51 +343,54 @@ def _unpack_lists(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     out = []
     for n, k, m, body, ids in rows:
         both = np.frombuffer(ids, "<u8")
-        which_hub, flag, many, left, _, which, sizes = _columns(body, (n, "<u4"), (n, "u1"), (n, "<u4"), (n, "<u4"), (1, "<u4"), (m, _narrow(k)), (k, "<u4"))
-        out.append((both[k:][which_hub], flag, many.astype(np.int64), left.astype(np.int64), both[:k][which], sizes[which].astype(np.int64)))
+        which_hub, flag, many, left, _, which, level, sizes = _columns(body, (n, "<u4"), (n, "u1"), (n, "<u4"), (n, "<u4"), (1, "<u4"), (m, _narrow(k)), (m, "u1"), (k, "<u4"))
+        out.append((both[k:][which_hub], flag, many.astype(np.int64), left.astype(np.int64), both[:k][which], sizes[which].astype(np.int64), level))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _lists_of(rows: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(plain, sets, keys, sizes) of each signature of a part that several sets have; the sets of one by key."""
-    sig, key, size = [], [], []
+def _lists_of(rows: list[tuple], threshold: float) -> tuple[np.ndarray, ...] | None:
+    """(plain, sets, keys, sizes, levels) of each signature of a part that several sets have; the sets of one by key."""
+    sig, key, size, level = [], [], [], []
     for n, k, _, body, ids in rows:
-        step, which, sizes = _columns(body, (n, "<u4"), (n, _narrow(k)), (k, "<u4"))
+        step, which, levels, sizes = _columns(body, (n, "<u4"), (n, _narrow(k)), (n, "u1"), (k, "<u4"))
+        level.append(levels)
         sig.append(np.cumsum(step, dtype=np.uint32))
         key.append(np.frombuffer(ids, "<u8")[which])
         size.append(sizes[which])
-    sig, key, size = (np.concatenate(x) for x in (sig, key, size))
+    sig, key, size, level = (np.concatenate(x) for x in (sig, key, size, level))
     order = np.argsort(sig)
     same = sig[order][1:] == sig[order][:-1]
     order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    sig, key, size = sig[order], key[order], size[order]
-    order = np.lexsort((key, sig))
-    sig, key, size = sig[order], key[order], size[order]
+    order = order[np.lexsort((level[order], key[order], sig[order]))]
+    sig, key, size, level = sig[order], key[order], size[order], level[order]
     fresh = np.ones(len(sig), bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key, size = sig[fresh], key[fresh], size[fresh]
+    sig, key, size, level = sig[fresh], key[fresh], size[fresh], level[fresh]
     # a set whose size fits no other of its list has no partner there
     order = np.lexsort((size, sig))
     fits = np.zeros(len(sig), bool)
     near = (sig[order][1:] == sig[order][:-1]) & (size[order][:-1] >= need(size[order][1:], threshold))
     fits[order[1:][near]] = fits[order[:-1][near]] = True
-    sig, key, size = sig[fits], key[fits], size[fits]
+    sig, key, size, level = sig[fits], key[fits], size[fits], level[fits]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     many = np.diff(np.append(first, len(sig)))
     keep = many > 1
+    two = first[many == 2]
+    n, m = size[two].astype(np.int64), size[two + 1].astype(np.int64)
+    keep[many == 2] = _within(n, m, level[two], threshold) & _within(m, n, level[two + 1], threshold)
     if not keep.any():
         return None
     at = _ragged(first[keep], many[keep])
-    return (sig[first[keep]] & 1).astype(np.uint8), many[keep], key[at], size[at]
+    return (sig[first[keep]] & 1).astype(np.uint8), many[keep], key[at], size[at], level[at]
 
 
-def _split(plain: np.ndarray, many: np.ndarray, key: np.ndarray, size: np.ndarray, long: int) -> tuple[np.ndarray, ...]:
-    """(hub, plain, sets, left, keys, sizes): long lists as the pairs of their blocks; left is how many sets of a list stand on its left side, 0 where all are paired with all."""
+def _split(plain: np.ndarray, many: np.ndarray, key: np.ndarray, size: np.ndarray, level: np.ndarray, long: int) -> tuple[np.ndarray, ...]:
+    """(hub, plain, sets, left, keys, sizes, levels): long lists as the pairs of their blocks; left is how many sets of a list stand on its left side, 0 where all are paired with all."""
     starts = np.cumsum(many) - many
     short = np.flatnonzero(many <= long)
-    out = [(key[starts[short]], plain[short], many[short], np.zeros(len(short), np.int64), key[at := _ragged(starts[short], many[short])], size[at])]
+    out = [(key[starts[short]], plain[short], many[short], np.zeros(len(short), np.int64), key[at := _ragged(starts[short], many[short])], size[at], level[at])]
     for i in np.flatnonzero(many > long).tolist():
-        own, sizes = key[starts[i] : starts[i] + many[i]], size[starts[i] : starts[i] + many[i]]
+        own, sizes, levels = (x[starts[i] : starts[i] + many[i]] for x in (key, size, level))
         blocks = 1 << int(np.ceil(np.log2(many[i] / (long // 2))))
         kind = (mix(own) % np.uint64(blocks)).astype(np.int64)
         groups = [np.flatnonzero(kind == b) for b in range(blocks)]
@@ -371,19 +400,23 @@ def _split(plain: np.ndarray, many: np.ndarray, key: np.ndarray, size: np.ndarra
                 if len(both) > 1 and (a == b or len(groups[a]) and len(groups[b])):
                     with np.errstate(over="ignore"):
                         hub = mix(own[:1] + np.uint64(blocks) * _A + np.uint64(a) * _B + mix(np.array([b + 1], np.uint64)))
-                    out.append((hub, plain[i : i + 1], np.array([len(both)]), np.array([0 if a == b else len(groups[a])]), own[both], sizes[both]))
+                    out.append((hub, plain[i : i + 1], np.array([len(both)]), np.array([0 if a == b else len(groups[a])]), own[both], sizes[both], levels[both]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _pairs_of(sig: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float):
-    """Yields (i, j) of the rows of sorted signature lists that may be partners by size."""
+def _pairs_of(sig: np.ndarray, key: np.ndarray, n: np.ndarray, threshold: float, level: np.ndarray | None = None):
+    """Yields (i, j) of the rows of sorted signature lists that may be partners by size, and by the level of the signature in both."""
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(first, len(sig)))
 
     def fine(i, j):
         lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = (lo >= need(hi, threshold)) & (((sig[i] & 1) == 0) | (lo < SMALL))
-        return i[ok], j[ok]
+        i, j = i[ok], j[ok]
+        if level is not None:
+            ok = _within(n[i], n[j], level[i], threshold) & _within(n[j], n[i], level[j], threshold)
+            i, j = i[ok], j[ok]
+        return i, j
 
     for m in np.unique(size[size > 1]).tolist():
         at = first[size == m]
@@ -453,9 +486,9 @@ def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold:
 
         def close():
             nonlocal held, have, sets
-            sig, of, keys, sizes = (np.concatenate(x) for x in zip(*held))
+            sig, of, level, keys, sizes = (np.concatenate(x) for x in zip(*held))
             held, have, sets = [], 0, 0
-            return _pack_signatures(sig, of, keys, sizes, parts)
+            return _pack_signatures(sig, of, level, keys, sizes, parts)
 
         for part in slices(batches):
             tokens, sizes, keys, score = token_sets(part.column(1).to_pylist(), hashes, n, shared.value.log)
@@ -469,8 +502,8 @@ def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold:
             if new.any():
                 own = np.repeat(new, sizes)
                 tokens, score, sizes, keys = tokens[own], score[own], sizes[new], keys[new]
-                sig, of = signatures(tokens, sizes, shared.value.seen(tokens, score), FREQUENT, threshold)
-                held.append((sig, of + sets, keys, sizes))
+                sig, of, level = _signed(tokens, sizes, shared.value.seen(tokens, score), FREQUENT, threshold)
+                held.append((sig, of + sets, level, keys, sizes))
                 have += len(sig)
                 sets += len(keys)
                 if have > LOT:
@@ -508,16 +541,20 @@ def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold:
                 own = order[lo:hi]
                 ids, first, runs = np.unique(a[own], return_index=True, return_counts=True)  # a grows within a part
                 hubs = np.minimum.reduceat(hub[own], first)
-                rows.append((int(part[own[0]]), hi - lo, len(ids), 0, _planes(runs.astype("<u4"), np.minimum(times[own], 65535).astype("<u2"), np.minimum(least[own], 65535).astype("<u2")), np.concatenate([ids, hubs, b[own]]).astype("<u8").tobytes()))
+                far = hubs != ids  # a list's hub is mostly its first set
+                names, which = np.unique(b[own], return_inverse=True)
+                few = 10 * len(names) < 8 * len(own)
+                body = _planes(runs.astype("<u4"), far.astype("u1"), np.minimum(times[own], 255).astype("u1"), least[own].astype("u1"), *([which.astype(_narrow(len(names)))] if few else []))
+                rows.append((int(part[own[0]]), hi - lo, len(ids), len(names) if few else 0, body, np.concatenate([ids, hubs[far], names if few else b[own]]).astype("<u8").tobytes()))
             return _block(rows)
 
         for rows in _by_part(batches):
-            hub, flag, many, left, key, size = _unpack_lists(rows)
+            hub, flag, many, left, key, size, level = _unpack_lists(rows)
             starts = np.cumsum(many) - many
             order = np.argsort(hub, kind="stable")
             hub, flag, many, left = hub[order], flag[order], many[order], left[order]
             at = _ragged(starts[order], many)
-            key, size = key[at], size[at]
+            key, size, level = key[at], size[at], level[at]
             starts = np.cumsum(many) - many
             heads = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]]))
             tails = np.append(heads[1:], len(hub))
@@ -540,7 +577,7 @@ def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold:
                 at = _ragged(starts[rest], many[rest])
                 sig = np.repeat(2 * np.arange(len(rest)) + flag[rest], many[rest])
                 k, z, h = key[at], size[at], np.repeat(hub[rest], many[rest])
-                for i, j in _pairs_of(sig, k, z, threshold):
+                for i, j in _pairs_of(sig, k, z, threshold, level[at]):
                     if len(i):
                         held.append((np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), np.ones(len(i), np.int64), shares(z[i], z[j], threshold), h[i]))
                         have += len(i)
@@ -557,10 +594,12 @@ def _candidates(docs: DataFrame, counts: Counts, total: int, n: int, threshold:
 
         for rows in _by_part(batches):
             held = []
-            for n_, k, _, body, ids in rows:
-                runs, times, least = _columns(body, (k, "<u4"), (n_, "<u2"), (n_, "<u2"))
-                all_ = np.frombuffer(ids, "<u8")
-                held.append((np.repeat(all_[:k], runs), all_[2 * k :], times.astype(np.int64), least.astype(np.int64), np.repeat(all_[k : 2 * k], runs)))
+            for n_, k, m, body, ids in rows:
+                runs, far, times, least, *which = _columns(body, (k, "<u4"), (k, "u1"), (n_, "u1"), (n_, "u1"), *[(n_, _narrow(m))] * (m > 0))
+                a, hubs, b = np.split(np.frombuffer(ids, "<u8"), [k, k + int(far.sum())])
+                hub = a.copy()
+                hub[far > 0] = hubs
+                held.append((np.repeat(a, runs), b[which[0]] if which else b, times.astype(np.int64), least.astype(np.int64), np.repeat(hub, runs)))
             a, b, times, least, hub = _summed(*map(np.concatenate, zip(*held)))
             keep = times >= least
             if not keep.any():

@@ -185,3 +185,29 @@ def test_keep_one(spark, docs_of):
     assert kept.where("text is null").count() == 1 and {r["_doc"] for r in kept.collect()} == {"src0"}
     empty = docs.limit(0)
     assert jaccard.keep_one(empty).count() == 0 and jaccard.find(empty).count() == 0
+
+
+def test_partners_are_found_within_their_reach():
+    """Of sets that partner, signatures enough are within the part of both prefixes that their sizes call for; those of sets that don't mostly aren't."""
+    rng = np.random.default_rng(12)
+    t = jaccard.THRESHOLD
+    pool = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    counts = rng.integers(0, 30, len(pool))
+    kept = total = 0
+    for frequent in (-1, 8, 15, 1 << 40):
+        for n in (3, 12, 19, 20, 21, 36, 37, 80, 81, 146, 320, 581, 1280, 2400):
+            for m in {n, int(np.ceil(t * n)), int(np.ceil(0.8 * n))}:
+                for partners in (True, False):
+                    both = int(np.ceil(t / (1 + t) * (n + m) - 1e-9)) if partners else m // 3
+                    x = rng.choice(len(pool), n + m - both, False)
+                    of = np.concatenate([np.sort(x[:n]), np.sort(x[n - both :])])
+                    sig, owner, level = jaccard._signed(pool[of], np.array([n, m]), counts[of], frequent, t)
+                    _, i, j = np.intersect1d(sig[owner == 0], sig[owner == 1], return_indices=True)
+                    i, j = np.flatnonzero(owner == 0)[i], np.flatnonzero(owner == 1)[j]
+                    fine = (sig[i] & np.uint64(1)) == (min(n, m) < jaccard.SMALL)
+                    within = fine & jaccard._within(np.array(n), np.array(m), level[i], t) & jaccard._within(np.array(m), np.array(n), level[j], t)
+                    if partners:
+                        assert within.sum() >= jaccard.shares(np.array([n]), np.array([m]), t)[0], (frequent, n, m)
+                    else:
+                        kept, total = kept + within.sum(), total + fine.sum()
+    assert kept < 0.6 * total
