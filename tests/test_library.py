@@ -490,3 +490,29 @@ def test_cancelled_search(spark):
     with pytest.raises(Exception, match="cancel"), cancellable(spark, "mine"):
         spark.range(4).select(slow("id")).collect()
     assert time.time() - began < 40 and spark.range(3).count() == 3
+
+
+def test_index_is_built_without_moving_postings(spark, tmp_path, monkeypatch):
+    """Texts move once and postings never, in runs of any size; what it holds is what counting word by word gives."""
+    monkeypatch.setattr(search, "LOT", 7)
+    texts = {1: ("b a b", None), 2: ("x.y b X.y", "b a"), 3: ("", None), 4: (None, "ä a-1 a"), 5: ("c", "b")}
+    docs = spark.createDataFrame([(k, *v) for k, v in texts.items()], "id int, t string, u string")
+    index = search.build(docs, "id", ["t", "u"])
+    want: dict = {}
+    for k, v in texts.items():
+        for f, text in zip("tu", v):
+            for term, at in terms(text or ""):
+                want.setdefault((k, f, term), []).append(at)
+    size = {k: sum(len(at) for (d, _, _), at in want.items() if d == k) for k in texts}
+    got = {(r["key"], r["field"], r["term"]): r for r in index.postings.collect()}
+    assert {k: list(r["positions"]) for k, r in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert all(r["tf"] == len(r["positions"]) and r["len"] == size[r["key"]] for r in got.values()) and len(got) == index.postings.count()
+    df = {t: len({k for k, _, x in want if x == t}) for _, _, t in want}
+    assert {r["term"]: r["df"] for r in search.document_frequency(index).collect()} == df
+    assert tuple(index.stats.first()) == (4, sum(size.values())) and {tuple(r) for r in index.lengths.collect()} == {(k, n) for k, n in size.items() if n}
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(index.postings).count("Repartition") == 1 and "Aggregate" not in plan(index.postings)
+    assert "distinct" not in plan(search.document_frequency(index)).lower()
+    index.write(str(tmp_path / "i"))
+    back = search.TextIndex.read(spark, str(tmp_path / "i"), "id")
+    assert sorted(map(str, back.postings.collect())) == sorted(map(str, got.values()))
