@@ -516,3 +516,35 @@ def test_index_is_built_without_moving_postings(spark, tmp_path, monkeypatch):
     index.write(str(tmp_path / "i"))
     back = search.TextIndex.read(spark, str(tmp_path / "i"), "id")
     assert sorted(map(str, back.postings.collect())) == sorted(map(str, got.values()))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_rough_scores_lose_nothing(spark, monkeypatch, metric):
+    """Near and far, short and long, equal, zero and huge vectors; few of all pairs are scored exactly."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8))
+    x[100:200] = x[:100] + 1e-4 * rng.normal(size=(100, 8))
+    x[200:250] *= 1e-3
+    x[250:300] = np.round(x[250:300])
+    x[300:303] = 0
+    if metric != "dot":
+        x[303], x[304] = 1e160, 1e-160
+    monkeypatch.setattr(nearest, "QUERIES_AT_ONCE", 220)
+    monkeypatch.setattr(nearest, "SCORES_AT_ONCE", 9000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(2)
+    got: dict = {}
+    queries = df.where("id < 303 or id > 304")
+    for r in nearest.nearest_many(df, "v", "id", queries, "id", "v", 4, metric, 6).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["key"], r["score"]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = np.sqrt((x**2).sum(1))
+        for i in [i for i in range(600) if i not in (303, 304)]:
+            s = -np.sqrt(((x - x[i]) ** 2).sum(1)) if metric == "l2" else (x * x[i]).sum(1)
+            if metric == "cosine":
+                s = np.divide(s, norm * norm[i], out=np.zeros(600), where=norm * norm[i] > 0)
+            best = sorted((-v, k) for k, v in enumerate(np.round(s, 6) + 0.0) if v == v)[:4]
+            assert [(k, round(v, 6)) for _, k, v in sorted(got[i])] == [(k, round(-v, 6)) for v, k in best], i
+    block = nearest._Block(x[400:], x[400:], metric)
+    s = block.rough(0, 200)
+    fourth = np.sort(block.score_of(s[:, :]), 1)[:, -4] if metric == "cosine" else np.sort(block.exact(*np.divmod(np.arange(200 * 200), 200), None).reshape(200, 200), 1)[:, -4]
+    assert (s >= block.cut(fourth, 1e-6)[:, None]).sum() < 200 * 6
