@@ -37,7 +37,7 @@ N, THRESHOLD = 2, 0.55
 #: Signatures that partners of SMALL tokens or more share.
 SHARED, SMALL = 3, 20
 #: Shared signatures that are asked for at most; more would only lead to more frequent tokens.
-ENOUGH = 6
+ENOUGH = 20
 #: Steps in which the place of a signature in its set's prefix is told, rounded down.
 LEVELS = 16
 #: Occurrences beyond which a token is frequent. Single tokens of more would make lists that grow with the input, and pairs with its square.
